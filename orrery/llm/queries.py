@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, quality_rules, toxicity
+from . import class_lm, decontamination, html_extraction, license_scan, near_dedup, packing, pii, quality_rules, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(entries).select(
@@ -129,14 +133,43 @@ from words left join hit_words using (doc_id) left join hit_items using (doc_id)
 """
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op9_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pii": op8_pii,
+    "op9_class_ngrams": op9_class_ngrams,
+    "op10_packing": op10_packing,
 }
 
+#: The others can't be put in SQL; tests hold them against plain models.
 ORACLES: dict[str, str] = {
+    "op1_license_scans": license_scan.oracle_sql(),
     "op2_quality_rules": OP2_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
