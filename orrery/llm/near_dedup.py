@@ -12,13 +12,16 @@ hashes. The steps:
 3. Every list links its members to its least member first, and each member goes to the
    best of these centres. After the links are verified, lists that hold one component
    are done, so a large group of near copies costs a star.
-4. Documents of the other lists get longer sketches and new, shorter lists by the same
-   rule, in which only documents meet that may still be alike. A few rounds of stars about
-   centres drawn by a hash join what belongs together; then all pairs across components
-   are tried, so no link between different texts is lost.
+4. For the documents of the other lists the same rule is applied to their whole sets, in
+   which it is exact: only documents meet whose rarest fifth has a value in common. A few
+   rounds of stars about centres drawn by a hash join what belongs together; then all
+   pairs across components are tried, so no link between different texts is lost.
 5. The sketch of the union, taken from two sketches, estimates the similarity and drops
    clearly lower pairs; the full sets of the others decide.
 
+Values that exactly the same documents hold give the same pairs, and stand in the lists
+once: a passage counts as one value, however long it is.
+
 Defined cases: a null text or one without words has an empty set, is linked with nothing
 and is kept; fewer words than a shingle has make one shingle of all; repeated rows with
 the same key are one document and share its fate; a null key is its own component and is
@@ -46,10 +49,7 @@ class Params:
     k: int = 64
     overlap: int = 31
     """Shared values among k that similar sets have: 64 draws at 0.8 give fewer with chance 4e-9."""
-    long_k: int = 256
-    long_overlap: int = 166
-    """The same for the sketches of step 4: 256 draws give fewer than 166 with chance 3e-9."""
-    star_rounds: int = 2
+    star_rounds: int = 3
     broadcast_rows: int = 1_000_000
     """Tables of ids with more rows than this are joined by shuffles, never broadcast."""
 
@@ -69,38 +69,45 @@ def sets(df: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> D
     return out.select("doc_id", hashes(F.col("w"), p.shingle).alias("s"))
 
 
-def sketches(df: DataFrame, p: Params, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(df: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, d1, d2, sketch): set size, digest of the set, the k least hashes."""
     out = sets(df, p, key, text).select("doc_id", F.sort_array("s").alias("s"))
     return out.select(
-        "doc_id", F.size("s").cast("long").alias("n_shingles"), F.xxhash64("s").alias("d1"), F.xxhash64(F.reverse("s")).alias("d2"), F.slice("s", 1, k).alias("sketch")
+        "doc_id", F.size("s").cast("long").alias("n_shingles"), F.xxhash64("s").alias("d1"), F.xxhash64(F.reverse("s")).alias("d2"), F.slice("s", 1, p.k).alias("sketch")
     )
 
 
-def _postings(reps: DataFrame, k: int, overlap: int, p: Params) -> DataFrame:
-    """(value, id, n): the rarest retained values of each sketch, where others hold them too."""
+def _postings(reps: DataFrame, retained: Column, needed: Column) -> DataFrame:
+    """(value, id, n, at): the rarest values of each sketch, where others hold them too, and their places in its order.
+
+    `needed` of the `retained` values of a sketch must be shared, so all but the rarest
+    retained - needed + 1 can be left out of the lists.
+    """
     each = reps.select("id", "n", F.explode("sketch").alias("value"))
-    shared = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = each.join(shared, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
-    retained = F.least(F.col("n"), F.lit(k))
-    needed = F.least(F.lit(overlap), F.ceil(F.col("n") * p.percent / 100))
-    take = retained - needed + 1 - (retained - F.size("held"))  # values of its own come first
-    return held.withColumn("take", take.cast("int")).where("take > 0").select("id", "n", F.explode(F.slice("held", F.lit(1), F.col("take"))["value"]).alias("value"))
+    shared = each.groupBy("value").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("df > 1")
+    # of values with the same holders the least comes first in every sketch, and stands for all
+    first = shared.groupBy("df", "x", "y").agg(F.min("value").alias("first"))
+    shared = shared.join(first, ["df", "x", "y"]).select("value", "df", (F.col("value") == F.col("first")).alias("first"))
+    held = each.join(shared, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value", "first"))).alias("held"))
+    own = retained - F.size("held")  # values that no other sketch holds come first
+    held = held.withColumns({"own": own, "take": (retained - needed + 1 - own).cast("int")}).where("take > 0")
+    each = held.select("id", "n", "own", F.posexplode(F.slice("held", F.lit(1), F.col("take"))).alias("k", "v"))
+    return each.where("v.first").select("v.value", "id", "n", (F.col("own") + F.col("k")).cast("long").alias("at"))
 
 
 def _near_size(a: Column, b: Column, p: Params) -> Column:
     return 100 * F.least(a, b) >= p.percent * F.greatest(a, b)
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int, overlap: int) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     """Adds `estimate`, from the sketch of the union, and drops pairs that are clearly unlike."""
     left = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, p.k)
     both = both.select("a", "b", union.alias("u"), F.array_intersect("sa", "sb").alias("common"))
     estimate = F.size(F.array_intersect("u", "common")) / F.size("u")
-    return both.select("a", "b", estimate.alias("estimate")).where(F.col("estimate") >= overlap / k)
+    return both.select("a", "b", estimate.alias("estimate")).where(F.col("estimate") >= p.overlap / p.k)
 
 
 def _few(df: DataFrame, p: Params) -> DataFrame:
@@ -118,6 +125,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return common.where(100 * F.col("both") >= p.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
 
 
+def _alike(pairs: DataFrame, whole: DataFrame, p: Params) -> DataFrame:
+    """Those (a, b) whose whole sets, given as (id, n, sketch), are similar enough."""
+    left = whole.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = whole.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    common = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
+    return common.where(100 * F.col("both") >= p.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
+
+
 def _placed(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The lists that hold more than one component, with the component `c` of each member."""
     placed = lists.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -125,16 +140,11 @@ def _placed(lists: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(mixed, "value", "left_semi")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """For each member the centre that it is most like by the estimate."""
-    return pairs.groupBy("b").agg(F.min(F.struct((-F.col("estimate")).alias("e"), "a")).alias("m")).select("m.a", "b")
-
-
 def assign(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `df`."""
     scratch = Scratch(df.sparkSession, "near_dedup")
     docs = df.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
-    sketched = scratch.save(sketches(docs, p, p.k))
+    sketched = scratch.save(sketches(docs, p))
 
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"))
@@ -143,12 +153,14 @@ def assign(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
     reps = full.join(one_each, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     reps = scratch.save(reps)
 
-    lists = scratch.save(_postings(reps, p.k, p.overlap, p))
+    enough = F.ceil(F.col("n") * p.percent / 100)
+    lists = scratch.save(_postings(reps, F.least(F.col("n"), F.lit(p.k)), F.least(F.lit(p.overlap), enough)))
     centre = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     stars = lists.join(centre, "value").where((F.col("id") != F.col("c.id")) & _near_size(F.col("n"), F.col("c.n"), p))
-    stars = _estimated(stars.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), reps, p.k, p.overlap)
-    tried = scratch.save(_best(stars))
-    links = _verified(tried, docs, p)
+    stars = _estimated(stars.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), reps, p)
+    # for each member the centre that it is most like
+    best = scratch.save(stars.groupBy("b").agg(F.min(F.struct((-F.col("estimate")).alias("e"), "a")).alias("m")).select("m.a", "b"))
+    links = _verified(best, docs, p)
 
     # rows with one key and different texts are one document: their classes are linked by it
     same = members.where("id is not null").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
@@ -158,36 +170,34 @@ def assign(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
 
     left = scratch.save(_placed(lists, found).select(F.col("id").alias("doc_id")).distinct())
     # written before it is filtered: a filter on what the shingles give would be pushed below them and cut the words anew for each
-    longer = scratch.save(sketches(docs.join(_few(left, p), "doc_id", "left_semi"), p, p.long_k)).where("n_shingles > 0")
-    longer = scratch.save(longer.dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"))
-    lists = scratch.save(_postings(longer, p.long_k, p.long_overlap, p))
-
-    def tried_and_true(pairs: DataFrame, only_best: bool) -> int:
-        """Verifies pairs that weren't tried before; new links change the components. Returns the number of pairs."""
-        nonlocal tried, links, found
-        known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        fresh = pairs.distinct().join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        fresh = _estimated(fresh, longer, p.long_k, p.long_overlap)
-        fresh = scratch.save(_best(fresh) if only_best else fresh.select("a", "b").distinct())
-        n = fresh.count()
-        if n:
-            new = scratch.save(_verified(fresh, docs, p))
-            tried = scratch.save(tried.unionByName(fresh))
-            if not new.isEmpty():
-                links = scratch.save(links.unionByName(new))
-                found = scratch.save(components(links, scratch))
-        return n
+    whole = scratch.save(sets(docs.join(_few(left, p), "doc_id", "left_semi"), p))
+    whole = whole.select(F.col("doc_id").alias("id"), F.size("s").cast("long").alias("n"), F.col("s").alias("sketch")).where("n > 0")
+    lists = scratch.save(_postings(whole, F.col("n"), enough).distinct())
+
+    def linked(pairs: DataFrame) -> None:
+        """Adds the links among these pairs, and what they change in the components."""
+        nonlocal links, found
+        new = scratch.save(_alike(pairs.distinct(), whole, p))
+        if not new.isEmpty():
+            links = scratch.save(links.unionByName(new))
+            found = scratch.save(components(links, scratch))
 
     for turn in range(p.star_rounds):
         open_ = _placed(lists, found)
-        drawn = open_.groupBy("value").agg(F.min(F.struct(F.xxhash64("value", "id", F.lit(turn)).alias("h"), "id", "n", "c")).alias("m"))
+        drawn = open_.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "c")).alias("m"))
         pairs = open_.join(drawn, "value").where((F.col("c") != F.col("m.c")) & _near_size(F.col("n"), F.col("m.n"), p))
-        if not tried_and_true(pairs.select(F.col("m.id").alias("a"), F.col("id").alias("b")), only_best=True):
-            break
+        linked(pairs.select(F.col("m.id").alias("a"), F.col("id").alias("b")))
     open_ = scratch.save(_placed(lists, found))
-    x, y = (open_.select("value", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in ("a", "b"))
-    across = x.join(y, (x.value == y.value) & (x.a < y.b) & (x.ca != y.cb) & _near_size(F.col("na"), F.col("nb"), p))
-    tried_and_true(across.select("a", "b"), only_best=False)
+    # a pair meets at the first value that both list; what precedes it in one set is not in the other
+    ordered = open_.groupBy("id", "n", "c").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))
+    each = ordered.select("id", "n", "c", F.col("v")["value"].alias("values"), F.posexplode("v").alias("k", "p"))
+    each = each.select("p.value", "p.at", "id", "n", "c", F.slice("values", F.lit(1), F.col("k")).alias("earlier"))
+    x, y = (each.select("value", *[F.col(o).alias(o + i) for o in ("id", "n", "c", "at", "earlier")]) for i in "ab")
+    x, y = x.withColumnRenamed("ida", "a"), y.withColumnRenamed("idb", "b")
+    most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    enough = (100 + p.percent) * most >= p.percent * (F.col("na") + F.col("nb"))
+    across = x.join(y, (x.value == y.value) & (x.a < y.b) & (x.ca != y.cb) & enough & ~F.arrays_overlap("earliera", "earlierb"))
+    linked(across.select("a", "b"))
 
     out = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
