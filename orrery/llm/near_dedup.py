@@ -148,7 +148,7 @@ def assign(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
 
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    members = scratch.save(sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "id"))
+    members = scratch.save(sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")))
     one_each = classes.select(F.col("id").alias("doc_id"), "d1", "d2")
     reps = full.join(one_each, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     reps = scratch.save(reps)
