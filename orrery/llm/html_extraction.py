@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
+from .text import through_pandas
 
 
 @dataclass(frozen=True)
@@ -266,5 +267,4 @@ def extract(df: DataFrame, p: Params = Params(), key: str = "page_id", url: str
                 texts.append("\n".join(b.text for k, b in enumerate(parse(source)[0]) if k not in out))
             yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.join(cut, "page", "left").select("page_id", "url", "html", "cut").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return through_pandas(pages.join(cut, "page", "left").select("page_id", "url", "html", "cut"), run, "url string, text string, n_chars long", "page_id")

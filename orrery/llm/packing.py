@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import text_or_empty
+from .text import text_or_empty, through_pandas
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,6 @@ def _keys(encoded: list[bytes], p: Params) -> np.ndarray:
 
 def tokenize(docs: DataFrame, p: Params) -> DataFrame:
     """(row, doc_id, ids, n, key) of (row, doc_id, text); ids are little-endian 16-bit numbers if the vocabulary allows."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,7 +131,7 @@ def tokenize(docs: DataFrame, p: Params) -> DataFrame:
                 encoded = list(_encoded(list(part["text"]), p))
                 yield pd.DataFrame({"row": part["row"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "ids": [_narrow(x) for x in encoded], "n": [len(x) // 4 for x in encoded], "key": _keys(encoded, p)})
 
-    return docs.mapInPandas(run, f"row long, doc_id {kind}, ids binary, n long, key long")
+    return through_pandas(docs, run, "row long, ids binary, n long, key long")
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -163,7 +162,6 @@ def pack(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     tokens = scratch.save(tokenize(docs, p))
     placed = tokens.select("row", "doc_id", "ids", "n").join(places(tokens, scratch, p), "row")
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,6 +176,6 @@ def pack(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "
                     at += size
             yield pd.DataFrame(rows, columns=columns)
 
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    columns = [x.split()[0] for x in schema.split(", ")]
-    return placed.select("doc_id", "ids", "n", "start").mapInPandas(run, schema)
+    schema = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    columns = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
+    return through_pandas(placed.select("doc_id", "ids", "n", "start"), run, schema)

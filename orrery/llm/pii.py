@@ -26,6 +26,9 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import pandas_udf
+
+from .text import through_pandas
 
 KINDS = ("email", "ip", "card", "phone", "address", "iban", "account")
 BASE = KINDS[:4]
@@ -231,8 +234,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])], axis=1)
 
     cut = df.select(df[key].alias("doc_id"), df[text].alias("text"))
-    kind = cut.schema["doc_id"].dataType.simpleString()
-    return cut.mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return through_pandas(cut, run, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str) -> str:
@@ -252,6 +254,4 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.map(lambda t: t if t is None else redacted(t))
 
-    from pyspark.sql.functions import pandas_udf
-
     return df.withColumn(text, pandas_udf(run, "string")(df[text]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -26,5 +26,12 @@ def words(col: Column) -> Column:
     return F.filter(F.split(col, SPACES), lambda w: w != "")
 
 
+def through_pandas(df: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
+    """mapInPandas with the key as text on the way: pandas would turn a column of integers with a null into floats."""
+    kind = df.schema[key].dataType
+    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"{key} string, {schema}")
+    return out.withColumn(key, F.col(key).cast(kind))
+
+
 def sum_of(col: Column) -> Column:
     return F.aggregate(col, F.lit(0).cast("long"), lambda a, x: a + x)
