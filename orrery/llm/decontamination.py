@@ -100,6 +100,8 @@ def decontaminate(documents: DataFrame, items: DataFrame, p: Params = Params(),
     placed = found.join(prefix, "h").withColumn("start", start).where("start >= 0 and start + length <= n_words")
     candidates = scratch.save(placed.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length", "w", F.col("item").cast("string").alias("item"))).alias("tried")))
 
+    scratch.keep(candidates)
+
     both = docs.join(candidates.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
     both = both.select("doc_id", "tried", plain_words(F.col("text")).alias("w"))
     hit = F.filter(F.coalesce("tried", F.array().cast(both.schema["tried"].dataType)), lambda c: F.slice(F.col("w"), c["start"] + 1, c["length"]) == c["w"])

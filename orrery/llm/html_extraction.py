@@ -255,8 +255,9 @@ def extract(df: DataFrame, p: Params = Params(), key: str = "page_id", url: str
 
     found = scratch.save(nodes(pages.select("page", "host", "html")))
     low = scratch.save(low_importance(found, p))
-    low = F.broadcast(low) if low.count() <= p.broadcast_rows else low
-    cut = scratch.save(found.where("kind = 't'").join(low, ["host", "path", "value"]).groupBy("page").agg(F.collect_set("block").alias("cut")))
+    few = F.broadcast(low) if low.count() <= p.broadcast_rows else low
+    cut = scratch.save(found.where("kind = 't'").join(few, ["host", "path", "value"]).groupBy("page").agg(F.collect_set("block").alias("cut")))
+    scratch.keep(cut)
     cut = F.broadcast(cut) if cut.count() <= p.broadcast_rows // 10 else cut
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

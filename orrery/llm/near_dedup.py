@@ -195,9 +195,10 @@ def assign(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
     x, y = (each.select("value", *[F.col(o).alias(o + i) for o in ("id", "n", "c", "at", "earlier")]) for i in "ab")
     x, y = x.withColumnRenamed("ida", "a"), y.withColumnRenamed("idb", "b")
     most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    enough = (100 + p.percent) * most >= p.percent * (F.col("na") + F.col("nb"))
-    across = x.join(y, (x.value == y.value) & (x.a < y.b) & (x.ca != y.cb) & enough & ~F.arrays_overlap("earliera", "earlierb"))
+    reachable = (100 + p.percent) * most >= p.percent * (F.col("na") + F.col("nb"))
+    across = x.join(y, (x.value == y.value) & (x.a < y.b) & (x.ca != y.cb) & reachable & ~F.arrays_overlap("earliera", "earlierb"))
     linked(across.select("a", "b"))
+    scratch.keep(members, found)
 
     out = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -72,14 +72,13 @@ def _wishes(now: DataFrame, quota: int) -> DataFrame:
     return now.join(mains, "g", "left").withColumn("wish", wish).drop("mains")
 
 
-def _round(now: DataFrame, rows: int, p: Params) -> DataFrame:
+def _round(now: DataFrame, rows: int, scratch: Scratch, p: Params) -> DataFrame:
     """One round of moves: new shard and slot for every row."""
-    spark = now.sparkSession
     low, more = divmod(rows, p.shards)
     quota = F.lit(low) + (F.col("wish") < more).cast("int")
     linked = (F.col("members") == 1).cast("int")
     asked = _ranked(_wishes(now, max(1, low)), ["wish"], {"_p": linked, **_buckets(rows, p)}, ["g", "doc_id", "crc"], "place")
-    asked = asked.withColumn("admitted", F.col("place") < quota)
+    asked = scratch.save(asked.withColumn("admitted", F.col("place") < quota))
     # the 40 totals of wishes tell where places remain
     got = {r.wish: r["count"] for r in asked.groupBy("wish").count().collect()}
     free, start = [], 0
@@ -118,11 +117,12 @@ def shard(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
     start = _ranked(start, ["_one"], deal, ["doc_id", "crc"], "r").withColumn("shard", (F.col("r") % p.shards).cast("int")).withColumn("slot", F.floor(F.col("r") / p.shards)).drop("r", "_one")
     now, least = scratch.save(start.select("doc_id", "size", "crc", "g", "members", "shard", "slot")), None
     for _ in range(p.rounds):
-        then = scratch.save(_round(now, rows, p).select("doc_id", "size", "crc", "g", "members", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")))
+        then = scratch.save(_round(now, rows, scratch, p).select("doc_id", "size", "crc", "g", "members", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")))
         left = cut(then)
         if least is not None and left >= least:
             scratch.discard(then)
             break
         scratch.discard(now)
         now, least = then, left
+    scratch.keep(now)
     return now.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"))

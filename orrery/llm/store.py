@@ -26,14 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Written tables of one run of an operator.
 
-    A table that a lazy result still reads stays until the cluster clears its folder;
-    `discard` removes those that a loop has replaced.
+    `discard` removes a table that a loop has replaced, `keep` all but those that a lazy
+    result still reads; these stay until the cluster clears its folder.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.made = 0
+        self.tables: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -41,11 +42,18 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.tables[path] = out
         return out
 
+    def keep(self, *wanted: DataFrame) -> None:
+        paths = {df.scratch_path for df in wanted}
+        for path, df in list(self.tables.items()):
+            if path not in paths:
+                self.discard(df)
+
     def discard(self, df: DataFrame | None) -> None:
         path = getattr(df, "scratch_path", None)
-        if path:
+        if self.tables.pop(path, None) is not None:
             jvm = self.spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

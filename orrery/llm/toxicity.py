@@ -169,6 +169,7 @@ def score(documents: DataFrame, labels: DataFrame, p: Params = Params(), key: st
     if adjust.select("label").distinct().count() < 2:
         adjust = grow
     steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(to_margin(adjust).select("margin", "label"))
+    scratch.keep(rows)
     scored = steps.transform(to_margin(out.withColumn("x", array_to_vector("features"))).select("doc_id", "held_out", "margin"))
     # a small part of the margin itself orders rows that calibration puts on one step
     value = 0.98 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated"))) + 0.02 / (1 + F.exp(-2 * F.col("margin")))
