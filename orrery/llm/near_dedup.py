@@ -84,10 +84,12 @@ def _postings(reps: DataFrame, retained: Column, needed: Column) -> DataFrame:
     retained - needed + 1 can be left out of the lists.
     """
     each = reps.select("id", "n", F.explode("sketch").alias("value"))
-    shared = each.groupBy("value").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("df > 1")
+    marks = [F.sum(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 31))).alias(f"mark{k}") for k in range(3)]  # of the holders, repeated ones too
+    shared = each.groupBy("value").agg(F.count("*").alias("df"), *marks).where("df > 1")
     # of values with the same holders the least comes first in every sketch, and stands for all
-    first = shared.groupBy("df", "x", "y").agg(F.min("value").alias("first"))
-    shared = shared.join(first, ["df", "x", "y"]).select("value", "df", (F.col("value") == F.col("first")).alias("first"))
+    holders = ["df", "mark0", "mark1", "mark2"]
+    first = shared.groupBy(*holders).agg(F.min("value").alias("first"))
+    shared = shared.join(first, holders).select("value", "df", (F.col("value") == F.col("first")).alias("first"))
     held = each.join(shared, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value", "first"))).alias("held"))
     own = retained - F.size("held")  # values that no other sketch holds come first
     held = held.withColumns({"own": own, "take": (retained - needed + 1 - own).cast("int")}).where("take > 0")

@@ -76,6 +76,14 @@ def test_near_copies_with_short_sketches_still_equal_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 4)
 
 
+def test_near_copies_among_repeated_rows(spark):
+    texts = corpus(5)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k, texts[k]) for k in range(6, len(texts), 2)]
+    got = near_dedup.assign(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.Params(shingle=4, k=24, overlap=7)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 4)
+
+
 def test_near_copies_of_odd_tables(spark):
     assert near_dedup.assign(frame(spark, [])).count() == 0
     same = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")

@@ -135,6 +135,7 @@ def page(article, more=""):
         (page("<article><p>x</p></article>", "<section class='comments'><article class='comment'><p>reader</p></article></section>"), "x"),
         (page("<div class='cookie-notice'>We use cookies</div><div><p>plain page</p></div>"), "plain page"),
         ("<article><p>kept<!-- gone --> text</p><!-- open", "kept text"), ("<article><p>5 < 6 and a<b>b</b></p></article>", "5 < 6 and ab"),
+        ("<article><p title=it's>don't <a href='a>b'>stop</a> \"here\"</p></article>", "don't stop \"here\""), ("<article><p>x</p><p class=\"open", 'x\n<p class="open'),
         ("<main><table><tr><td>a<td>b<tr><td>c</table></main>", "a\nb\nc"),
     ],
 )
