@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import through_pandas
+from .text import small_batches, through_pandas
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,8 @@ CUT_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article post entry story".split())
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)>|<[!?/][^>]*>|([^<]+|<)", re.S)
+REST = re.compile(r"<!--.*|()()()(.+)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
 
@@ -150,7 +151,9 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 return
 
     at, n = 0, len(page)
-    while at < n and (m := TOKEN.match(page, at)):
+    last = page.rfind(">") + 1  # no tag ends behind it, so what follows is text
+    while at < n:
+        m = TOKEN.match(page, at) if at < last else REST.match(page, at)
         at = m.end()
         if m[4] is not None:
             if not stack[-1].cut:
@@ -227,7 +230,7 @@ def nodes(pages: DataFrame) -> DataFrame:
                 rows += [(page, host, "s", _hash(path), 0, _hash(style), -1, False) for path, style in {p: s for p, s in styles}.items()]
             yield pd.DataFrame(rows, columns=["page", "host", "kind", "path", "parent", "value", "block", "article"])
 
-    return pages.mapInPandas(run, "page long, host string, kind string, path long, parent long, value long, block int, article boolean")
+    return small_batches(pages).mapInPandas(run, "page long, host string, kind string, path long, parent long, value long, block int, article boolean")
 
 
 def low_importance(found: DataFrame, p: Params) -> DataFrame:

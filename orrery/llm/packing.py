@@ -43,7 +43,7 @@ class Params:
     bits: int = 16
     hashed: int = 256
     range_rows: int = 50_000
-    cached_words: int = 1_000_000
+    cached_words: int = 300_000
 
 
 @lru_cache(maxsize=1)
@@ -58,8 +58,19 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Ids of words that this worker has met, as little-endian 32-bit numbers.
+#: Ids of words that this worker has met more than once, as little-endian 32-bit numbers, and a bit for each word met.
 _known: dict[str, bytes] = {}
+_met = bytearray(1 << 20)
+
+
+def _of_words(new: list[str], p: Params) -> list[bytes]:
+    """Ids of each word, from one call for all of them: a token's offset tells its word."""
+    found = _tokenizer(p.tokenizer).encode(" ".join(new), add_special_tokens=False)
+    ids = np.array(found.ids, "<u4").tobytes()
+    first = np.array([o[0] for o in found.offsets], np.int64)
+    begin = np.cumsum([0] + [len(w) + 1 for w in new])
+    ends = (4 * np.searchsorted(first, begin)).tolist()
+    return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _encoded(texts: list[str], p: Params) -> Iterator[bytes]:
@@ -72,10 +83,12 @@ def _encoded(texts: list[str], p: Params) -> Iterator[bytes]:
     for at in range(0, len(texts), 256):
         cut = [t.replace("\n", " ").split(" ") for t in texts[at : at + 256]]
         new = list({w for ws in cut for w in ws}.difference(_known))
-        met = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, _tokenizer(p.tokenizer).encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(_known) < p.cached_words:
-            _known.update(met)
-            met = _known
+        met = dict(zip(new, _of_words(new, p), strict=True))
+        for w, ids in met.items():
+            at_byte, bit = divmod(hash(w) % (len(_met) * 8), 8)
+            if _met[at_byte] >> bit & 1 and len(_known) < p.cached_words:
+                _known[w] = ids
+            _met[at_byte] |= 1 << bit
         for ws in cut:
             yield b"".join([met[w] if w in met else _known[w] for w in ws]) + end
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
 
-from .text import through_pandas
+from .text import small_batches, through_pandas
 
 KINDS = ("email", "ip", "card", "phone", "address", "iban", "account")
 BASE = KINDS[:4]
@@ -254,4 +254,4 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.map(lambda t: t if t is None else redacted(t))
 
-    return df.withColumn(text, pandas_udf(run, "string")(df[text]))
+    return small_batches(df).withColumn(text, pandas_udf(run, "string")(df[text]))
