@@ -3,7 +3,8 @@
 The pages of a host are merged: for every element path (tags with their classes) Spark
 counts the pages that have it, the sequences of child elements that it has (its
 presentation styles) and the texts that it holds. From these counts come two entropies, as
-shares of the greatest possible one. The presentation importance of a path is high if
+shares of the greatest possible one. Copies, pages of a host whose texts are the same in
+the same order, count as one page. The presentation importance of a path is high if
 pages style its children in many ways. The content importance of a text is low if it
 stands under the same path on many pages of the host. Blocks whose importance is low are
 removed from each page.
@@ -216,9 +217,9 @@ def _hash(text: str) -> int:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """(page, host, kind, path, parent, value, block, article): kind 't' for each block's text, 's' for each element's style.
+    """(page, copy, host, kind, path, parent, value, block, article): kind 't' for each block's text, 's' for each element's style.
 
-    Styles and texts that a page repeats under one path are told once.
+    Styles that a page repeats under one path are told once. `copy` is the digest of the page's texts in order.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,21 +227,25 @@ def nodes(pages: DataFrame) -> DataFrame:
             rows = []
             for page, host, source in zip(batch["page"], batch["host"], batch["html"], strict=True):
                 blocks, styles = parse(source)
-                rows += [(page, host, "t", _hash(b.path), _hash(b.path.rpartition("/")[0]), _hash(b.text), k, b.article) for k, b in enumerate(blocks)]
-                rows += [(page, host, "s", _hash(path), 0, _hash(style), -1, False) for path, style in {p: s for p, s in styles}.items()]
-            yield pd.DataFrame(rows, columns=["page", "host", "kind", "path", "parent", "value", "block", "article"])
+                copy = _hash("\n".join(b.text for b in blocks))
+                rows += [(page, copy, host, "t", _hash(b.path), _hash(b.path.rpartition("/")[0]), _hash(b.text), k, b.article) for k, b in enumerate(blocks)]
+                rows += [(page, copy, host, "s", _hash(path), 0, _hash(style), -1, False) for path, style in {p: s for p, s in styles}.items()]
+            yield pd.DataFrame(rows, columns=["page", "copy", "host", "kind", "path", "parent", "value", "block", "article"])
 
-    return small_batches(pages).mapInPandas(run, "page long, host string, kind string, path long, parent long, value long, block int, article boolean")
+    return small_batches(pages).mapInPandas(run, "page long, copy long, host string, kind string, path long, parent long, value long, block int, article boolean")
 
 
 def low_importance(found: DataFrame, p: Params) -> DataFrame:
-    """(host, path, value, importance): texts under a path that several pages of the host share, and whose importance is low."""
-    styles = found.where("kind = 's'").groupBy("host", "path", "value").agg(F.count("*").alias("n"))
+    """(host, path, value, importance): texts under a path that several pages of the host share, and whose importance is low.
+
+    Pages with the same texts in the same order count once, or else the text of a page that a host has often would be boilerplate.
+    """
+    styles = found.where("kind = 's'").groupBy("host", "path", "value").agg(F.countDistinct("copy").alias("n"))
     # entropy of the styles of a path, as a share of the greatest that its pages allow
     spread = styles.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     style = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
     spread = spread.where(F.col("m") >= p.least_pages).select("host", F.col("path").alias("parent"), "m", style.alias("style"))
-    texts = found.where("kind = 't'").groupBy("host", "path", "parent", "value").agg(F.countDistinct("page").alias("n"), F.max("article").alias("article")).where("n > 1")
+    texts = found.where("kind = 't'").groupBy("host", "path", "parent", "value").agg(F.countDistinct("copy").alias("n"), F.max("article").alias("article")).where("n > 1")
     both = texts.join(spread, ["host", "parent"])
     content = 1 - F.log("n") / F.log(F.greatest("m", "n"))
     both = both.withColumn("importance", p.style_weight * F.col("style") + (1 - p.style_weight) * content)

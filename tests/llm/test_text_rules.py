@@ -204,3 +204,13 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert texts[100] == "Site slogan" and texts[101] == ""
     assert all(r.n_chars == len(r.text) for r in rows)
     assert html_extraction.extract(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_count_once(spark):
+    body = lambda k: f"<body><div><p>Slogan of the site</p></div><div class=x><p>first of {k}</p><p>second of {k}</p></div></body>"
+    equal = [(k, f"http://equal.org/?from={k}", "<article><h1>Title</h1><p>The one text</p></article>") for k in range(20)]
+    third = [(100 + k, f"http://third.org/{k}", body("all" if k % 3 == 0 else k)) for k in range(99)]
+    rows = html_extraction.extract(spark.createDataFrame(equal + third, "page_id long, url string, html string")).collect()
+    texts = {r.page_id: r.text for r in rows}
+    assert len(rows) == 119 and all(texts[k] == "Title\nThe one text" for k in range(20))
+    assert all(texts[100 + k] == "first of {0}\nsecond of {0}".format("all" if k % 3 == 0 else k) for k in range(99))
