@@ -11,7 +11,9 @@ P(word | previous) = P(class | class of the previous) * P(type | class) * P(word
 * Exchange clustering: a pass over all encoded training rows counts, for each type, the
   classes before and after it; each type then moves to the class that raises the
   likelihood of the class bigrams most. Half of the types may move in a pass, so that
-  types which would follow each other don't swap for ever.
+  types which would follow each other don't swap for ever. After `Params.passes` passes the
+  loop ends when two passes, in which each type may move once, have raised the likelihood
+  by less than `Params.least_gain`; as it is bounded, the loop ends.
 
 Defined cases: a null or empty text has the end token alone; repeated rows are scored, and
 counted, each; with no training row every probability comes from the smoothing; an empty
@@ -39,7 +41,10 @@ class Params:
     share: float = 3e-6
     ending: int = 2
     classes: int = 32
-    passes: int = 4
+    passes: int = 6
+    """At least so many passes of exchange."""
+    least_gain: float = 0.005
+    """In nats a token, of two passes; the loop goes on while they gain so much."""
     add: float = 0.5
     backing: float = 20.0
     """Weight, in tokens, of the class unigram behind a class bigram."""
@@ -209,17 +214,29 @@ def best_classes(counted: DataFrame, of: np.ndarray, bigrams: np.ndarray, turn:
     return counted.mapInPandas(run, "type long, class long")
 
 
+def likelihood(bigrams: np.ndarray) -> float:
+    """Nats a token that class bigrams gain over class unigrams."""
+    parts = _xlogx(bigrams).sum() - _xlogx(bigrams.sum(axis=0)).sum() - _xlogx(bigrams.sum(axis=1)).sum() + _xlogx(bigrams.sum())
+    return float(parts / max(bigrams.sum(), 1))
+
+
 def exchange(encoded: DataFrame, types: Types, scratch: Scratch, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """The class of every type, and the class bigram counts; starts from classes dealt by frequency."""
     of = np.where(np.arange(len(types)) == END, 0, 1 + np.arange(len(types)) % (p.classes - 1))
-    for turn in range(p.passes):
+    reached: list[float] = []
+    while True:
         counted = scratch.save(neighbours(encoded, of, p))
-        moved = best_classes(counted, of, transitions(counted, of, p), turn, p).collect()  # a row for each type
+        bigrams = transitions(counted, of, p)
+        reached.append(likelihood(bigrams))
+        turn = len(reached) - 1
+        if turn >= max(2, p.passes) and reached[-1] - reached[-3] < p.least_gain:
+            scratch.discard(counted)
+            return of, bigrams
+        moved = best_classes(counted, of, bigrams, turn, p).collect()  # a row for each type
         scratch.discard(counted)
         of = of.copy()
         for r in moved:
             of[r[0]] = r[1]
-    return of, transitions(neighbours(encoded, of, p), of, p)
 
 
 def score_tables(types: Types, of: np.ndarray, bigrams: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

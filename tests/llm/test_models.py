@@ -77,6 +77,19 @@ def test_class_model(spark):
     assert class_lm.score(df.limit(0), p).count() == 0
 
 
+def test_exchange_goes_on_while_it_gains(spark, monkeypatch):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lm_frame(spark))], "doc_id long, text string")
+    reached, turns = [], []
+    measure, move = class_lm.transitions, class_lm.best_classes
+    monkeypatch.setattr(class_lm, "transitions", lambda *a: [out := measure(*a), reached.append(class_lm.likelihood(out))][0])
+    monkeypatch.setattr(class_lm, "best_classes", lambda *a: [turns.append(a[3]), move(*a)][1])
+    p = class_lm.Params(share=5e-3, classes=6)
+    class_lm.score(df, p)
+    assert len(turns) >= 6 and turns == list(range(len(turns)))
+    assert len(reached) == len(turns) + 1 and reached[-1] - reached[-3] < p.least_gain
+    assert all(reached[k] - reached[k - 2] >= p.least_gain for k in range(7, len(turns)))
+
+
 def test_class_model_is_a_distribution():
     p = class_lm.Params(classes=4)
     types = class_lm.Types({b"a": 1, b"b": 2}, {"xy": 3}, 4, np.array([10, 30, 20, 8, 4]), np.array([0, 0, 0, 3, 2]), 72, 8)
