@@ -85,7 +85,6 @@ class Block:
     path: str
     text: str
     article: bool
-    linked: int
 
 
 @dataclass
@@ -120,24 +119,18 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     styles: list[tuple[str, str]] = []
     stack = [_Open("", "", False, False)]
     parts: list[str] = []
-    linked = links = 0
     marked = False
 
     def flush() -> None:
-        nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 top = next((o for o in reversed(stack) if o.tag in BLOCKS), stack[0])
-                blocks.append(Block(top.step, text, top.article, linked))
-        linked = 0
+                blocks.append(Block(top.step, text, top.article))
 
     def pop() -> None:
-        nonlocal links
         top = stack.pop()
-        if top.tag == "a":
-            links -= 1
         if top.tag in BLOCKS and not top.cut:
             styles.append((top.step, " ".join(top.children)))
 
@@ -159,8 +152,6 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if m[4] is not None:
             if not stack[-1].cut:
                 parts.append(entities.unescape(m[4]) if "&" in m[4] else m[4])
-                if links:
-                    linked += len(m[4])
             continue
         if m[2] is None:
             continue
@@ -201,14 +192,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         step = tag + "".join("." + c for c in attrs.get("class", "").split()[:3])
         above.children.append(step)
         stack.append(_Open(tag, f"{above.step}/{step}" if tag in BLOCKS else above.step, cut, article))
-        links += tag == "a"
     flush()
     while len(stack) > 1:
         pop()
     if marked:
         blocks = [b for b in blocks if b.article]
-    else:
-        blocks = [b for b in blocks if b.linked <= 0.6 * len(b.text)]
     return blocks, styles
 
 

@@ -214,3 +214,8 @@ def test_copies_of_a_page_count_once(spark):
     texts = {r.page_id: r.text for r in rows}
     assert len(rows) == 119 and all(texts[k] == "Title\nThe one text" for k in range(20))
     assert all(texts[100 + k] == "first of {0}\nsecond of {0}".format("all" if k % 3 == 0 else k) for k in range(99))
+
+
+def test_links_are_text():
+    html = "<body><div><h1><a href=/x>Title</a></h1><p>Words.</p><p><a href=/y>A paragraph that is one link</a></p><ul><li><a href=/z>Source</a></ul></div></body>"
+    assert [b.text for b in html_extraction.parse(html)[0]] == ["Title", "Words.", "A paragraph that is one link", "Source"]
