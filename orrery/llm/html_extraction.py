@@ -12,7 +12,9 @@ removed from each page.
 Roles come before the tree, for a tree can't judge what a host shows once: branches that
 are marked up as menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts or styles are cut, and where a page marks its article or main part, only that is
-read. Inside a marked article the tree asks for stronger evidence.
+read. Inside a marked article only roles and classes that name a widget as a whole cut a
+branch, and the tree asks for stronger evidence. Headings and paragraphs are never cut by
+a name.
 
 Pages are parsed inside tasks, one at a time. What crosses the network are hashes of paths
 and texts; hosts are aggregated partially, so a host with a third of all pages is not
@@ -62,7 +64,7 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption option li dd dt".split())
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = frozenset("ul ol dl table td th article section div body html nav aside footer header main form".split())
-CUT_TAGS = frozenset("nav footer aside form script style noscript template iframe head svg math canvas object select button dialog menu audio video map search textarea input label fieldset".split())
+CUT_TAGS = frozenset("nav footer aside form script style noscript template iframe head svg canvas object select button dialog menu audio video map search textarea input label fieldset".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 #: Words in class names and ids that tell a part's role.
 CUT_WORDS = frozenset(
@@ -72,6 +74,11 @@ CUT_WORDS = frozenset(
     newsletter subscribe subscription signup popup modal overlay related recommended widget login searchform searchbox
     toolbar skip paywall""".split()
 )
+#: Inside a marked article: words that name a widget, and those that may stand beside one in the same class.
+WIDGETS = CUT_WORDS - frozenset("header masthead notice notices alert skip".split())
+PARTS = CUT_WORDS | frozenset("area bar block body box button buttons container form icons item items links list posts section slot thread unit wrapper".split())
+WHOLE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+"""Elements that no name cuts."""
 MAIN_WORDS = frozenset("article post entry story".split())
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)>|<[!?/][^>]*>|([^<]+|<)", re.S)
@@ -109,6 +116,13 @@ def _is_cut(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in CUT_ROLES:
         return True
+    if tag in WHOLE:
+        return False
+    if in_article:
+        # an id there may come from a title, and one word of a class says little
+        each = [set(WORD.findall(c)) for c in attrs.get("class", "").lower().split()]
+        widget = any(c & WIDGETS and c <= PARTS for c in each)
+        return widget and (tag not in ("body", "html", "main", "article") or tag == "article" and any(c & {"comment", "comments", "reply"} for c in each))
     named = WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
     return bool(CUT_WORDS.intersection(named)) and tag not in ("body", "html", "main", "article" if not {"comment", "comments", "reply"}.intersection(named) else "")
 

@@ -219,3 +219,21 @@ def test_copies_of_a_page_count_once(spark):
 def test_links_are_text():
     html = "<body><div><h1><a href=/x>Title</a></h1><p>Words.</p><p><a href=/y>A paragraph that is one link</a></p><ul><li><a href=/z>Source</a></ul></div></body>"
     assert [b.text for b in html_extraction.parse(html)[0]] == ["Title", "Words.", "A paragraph that is one link", "Source"]
+
+
+@pytest.mark.parametrize(
+    "part,kept",
+    [
+        ("<section id='related-work'><h2>Related</h2></section>", "Related"), ("<h2 id='comments-on-the-method'>On it</h2>", "On it"), ("<h2 id='notice-periods'>Periods</h2>", "Periods"), ("<div id='share-prices'>Prices</div>", "Prices"),
+        ("<p class='skip-indent'>Indent</p>", "Indent"), ("<div class='post-header'><h1>Title</h1></div>", "Title"), ("<p>If <math><mi>x</mi></math> is</p>", "If x is"),
+        ("<div class='share-buttons'>Share</div>", ""), ("<div class='wide comments-area'>Readers</div>", ""), ("<div class='newsletter'>Mail</div>", ""), ("<div role='complementary'>Else</div>", ""), ("<article class='comment'>Reader</article>", ""),
+    ],
+)
+def test_names_inside_an_article(part, kept):
+    blocks = html_extraction.parse(f"<body><article>{part}<p>end</p></article></body>")[0]
+    assert "\n".join(b.text for b in blocks) == (f"{kept}\nend" if kept else "end")
+
+
+def test_no_name_cuts_a_heading_or_paragraph():
+    html = "<body><div><h2 id='related-work'>Related</h2><p class='notice'>Words</p><div class='sidebar'>gone</div></div></body>"
+    assert [b.text for b in html_extraction.parse(html)[0]] == ["Related", "Words"]
