@@ -1,24 +1,33 @@
 """Main text of web pages, by a site style tree.
 
-The pages of a host are merged: for every element path (tags with their classes) Spark
-counts the pages that have it, the sequences of child elements that it has (its
-presentation styles) and the texts that it holds. From these counts come two entropies, as
-shares of the greatest possible one. Copies, pages of a host whose texts are the same in
-the same order, count as one page. The presentation importance of a path is high if
-pages style its children in many ways. The content importance of a text is low if it
-stands under the same path on many pages of the host. Blocks whose importance is low are
-removed from each page.
-
-Roles come before the tree, for a tree can't judge what a host shows once: branches that
-are marked up as menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts or styles are cut, and where a page marks its article or main part, only that is
-read. Inside a marked article only roles and classes that name a widget as a whole cut a
-branch, and the tree asks for stronger evidence. Headings and paragraphs are never cut by
-a name.
-
-Pages are parsed inside tasks, one at a time. What crosses the network are hashes of paths
-and texts; hosts are aggregated partially, so a host with a third of all pages is not
-gathered anywhere.
+Pages are parsed once, inside tasks, into blocks of text and the elements that hold them.
+The pages of a host are then merged into a tree: an element's place is that of its parent,
+the sequence of containers that the parent has on this page (its style), and the element's
+tag, classes and rank among equals. Copies, pages of a host whose texts are the same in the
+same order, count as one page. For every place that enough pages share, Spark counts
+
+* how often each shape of the branch is seen (runs of equal branches in it count once), and
+  how often each sequence of children: their entropies, as shares of the greatest possible one, are the presentation importance P of
+  the branch and the variety S of the element itself;
+* how often each text of the branch is seen: its entropy is the content importance C;
+* how much text outside of links the branch holds, against the largest branch beside it: V.
+
+A container is judged where its parent is a part of the template, which is the body, or an
+element whose S is low: its importance is C * (1 - (1 - P) * (1 - V)), so a branch must
+change from page to page, and either in its form or with a weight of its own. Branches of
+low importance are removed from each page, a footer whose words change as much as a menu.
+Everywhere else, and for headings and paragraphs, only a text that nearly all pages repeat
+at its place is removed.
+
+The markup's own roles come after the tree, for what it can't know, such as a host of few
+pages, or reader comments, which change as articles do: branches marked up as menus,
+headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go, and
+where a page marks its article or main part, only that stays. Inside a marked article only
+roles and classes that name a widget as a whole cut a branch, and the tree removes nothing
+but repeated texts. No name cuts a heading or a paragraph.
+
+What crosses the network are hashes of places, shapes and texts; counts are aggregated
+partially, so a host with a third of all pages is not gathered anywhere.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as browsers
 do in spirit: open elements end with their parents, an unclosed comment or script ends the
@@ -33,23 +42,27 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import small_batches, through_pandas
+from .text import through_pandas
 
 
 @dataclass(frozen=True)
 class Params:
-    least_pages: int = 8
-    """Pages of a host that show a path before the tree judges it."""
-    least_importance: float = 0.25
-    in_article: float = 0.1
-    """The limit inside a marked article."""
-    style_weight: float = 0.15
+    least_pages: int = 5
+    """Pages of a host, copies counted once, that share a place before the tree judges it."""
+    least_importance: float = 0.1
+    most_variety: float = 0.3
+    """An element whose children vary less than this from page to page is a part of the template."""
+    repeated: float = 0.05
+    """1 - log(pages with the text) / log(pages) below which a text is the site's, not the page's."""
+    repeated_in_article: float = 0.02
     broadcast_rows: int = 1_000_000
 
 
@@ -79,28 +92,57 @@ WIDGETS = CUT_WORDS - frozenset("header masthead notice notices alert skip".spli
 PARTS = CUT_WORDS | frozenset("area bar block body box button buttons container form icons item items links list posts section slot thread unit wrapper".split())
 WHOLE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 """Elements that no name cuts."""
-MAIN_WORDS = frozenset("article post entry story".split())
+#: Elements that end only with their own end tags.
+WIDE = frozenset("article main body html nav footer aside header form section div".split())
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)>|<[!?/][^>]*>|([^<]+|<)", re.S)
 REST = re.compile(r"<!--.*|()()()(.+)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
+DIGITS = re.compile(r"[0-9]+")
 
 
-@dataclass
-class Block:
-    path: str
-    text: str
-    article: bool
+#: Elements whose branches the tree may weigh, and those whose children it may.
+CONTAINERS = frozenset("address aside center details dialog dir div dl fieldset figure footer form header main menu nav ol section table ul".split())
+LEVELS = frozenset("body html div section main center form header footer aside article".split())
 
 
 @dataclass
-class _Open:
+class Node:
+    """An element on the stack; those that make blocks are the nodes of the tree."""
+
     tag: str
-    step: str
+    label: str
+    parent: Node | None
+    rank: int
+    first: int
     cut: bool
+    mute: bool
+    link: bool
     article: bool
     children: list[str] = field(default_factory=list)
+    containers: list[str] = field(default_factory=list)
+    branches: list[str] = field(default_factory=list)
+    seen: dict[str, int] = field(default_factory=dict)
+    last: int = -1
+    heads: bool = False
+    """It is or holds a heading of the first level."""
+    shape: str = ""
+    place: int = 0
+
+
+@dataclass
+class Page:
+    blocks: list[str] = field(default_factory=list)
+    plain: list[int] = field(default_factory=list)
+    """Code points of each block that stand outside of links."""
+    kept: list[bool] = field(default_factory=list)
+    """Whether roles leave the block."""
+    nodes: list[Node] = field(default_factory=list)
+    """Elements that hold a block, parents first."""
+
+    def text(self) -> str:
+        return "\n".join(b for b, k in zip(self.blocks, self.kept, strict=True) if k)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -127,26 +169,39 @@ def _is_cut(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool(CUT_WORDS.intersection(named)) and tag not in ("body", "html", "main", "article" if not {"comment", "comments", "reply"}.intersection(named) else "")
 
 
-def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """Blocks of text outside of cut branches, and the presentation style of every element seen: (path, its children)."""
-    blocks: list[Block] = []
-    styles: list[tuple[str, str]] = []
-    stack = [_Open("", "", False, False)]
+def parse(page: str) -> Page:
+    """Blocks of text in page order, and the tree of the elements that hold them."""
+    out = Page()
+    root = Node("", "", None, 0, 0, False, False, False, False)
+    stack, opened = [root], [root]
     parts: list[str] = []
-    marked = False
+    inside: list[bool] = []  # the block lies in a marked article
+    linked, marked = 0, False
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            parts.clear()
             if text:
-                top = next((o for o in reversed(stack) if o.tag in BLOCKS), stack[0])
-                blocks.append(Block(top.step, text, top.article))
+                top = stack[-1]
+                out.blocks.append(text)
+                out.plain.append(max(0, len(text) - linked))
+                out.kept.append(not top.cut)
+                inside.append(top.article)
+            parts.clear()
+            linked = 0
 
     def pop() -> None:
         top = stack.pop()
-        if top.tag in BLOCKS and not top.cut:
-            styles.append((top.step, " ".join(top.children)))
+        if top.tag in BLOCKS:
+            top.last = len(out.blocks)
+            # a run of equal branches counts once: how many entries a list has is no form
+            top.shape = f"{top.label}({','.join(k for k, _ in groupby(top.branches))})"
+            above = top.parent
+            if len(top.shape) > 64:
+                top.shape = f"{_hash(top.shape):x}"
+            above.branches.append(top.shape)
+            above.heads |= top.heads
 
     def close(tags: set[str], scopes: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -164,15 +219,17 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         m = TOKEN.match(page, at) if at < last else REST.match(page, at)
         at = m.end()
         if m[4] is not None:
-            if not stack[-1].cut:
+            if not stack[-1].mute:
                 parts.append(entities.unescape(m[4]) if "&" in m[4] else m[4])
+                if stack[-1].link:
+                    linked += len(parts[-1].strip())
             continue
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCKS:
-                close({tag}, frozenset() if tag in ("article", "main", "body", "html", "nav", "footer", "aside", "header", "form", "section", "div") else frozenset({"article", "main"}))
+                close({tag}, frozenset() if tag in WIDE else frozenset({"article", "main"}))
                 flush()
             else:
                 for k in range(len(stack) - 1, 0, -1):
@@ -199,83 +256,149 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             continue
         attrs = _attributes(m[3]) if m[3].strip() else {}
         above = stack[-1]
-        cut = above.cut or _is_cut(tag, attrs, above.article)
+        holder = above if above.tag in BLOCKS else above.parent or root
+        cut, mute = above.cut, above.mute
+        if not (cut and mute) and _is_cut(tag, attrs, above.article):
+            # what is cut inside a line leaves no block; a branch is cut after the tree has seen it
+            cut, mute = (True, mute) if tag in BLOCKS else (cut, True)
         main = tag in ("article", "main") or attrs.get("role") in ("main", "article")
-        article = above.article or (main and not cut)
+        article = above.article or (main and not cut and not mute)
         marked = marked or article
-        step = tag + "".join("." + c for c in attrs.get("class", "").split()[:3])
-        above.children.append(step)
-        stack.append(_Open(tag, f"{above.step}/{step}" if tag in BLOCKS else above.step, cut, article))
+        label = tag + "".join("." + DIGITS.sub("0", c) for c in attrs.get("class", "").split())
+        node = Node(tag, label, holder, 0, len(out.blocks), cut, mute, above.link or tag == "a", article)
+        holder.children.append(label)
+        if tag in BLOCKS:
+            node.rank = holder.seen.get(label, 0)
+            holder.seen[label] = node.rank + 1
+            node.heads = tag == "h1"
+            if tag in CONTAINERS:
+                holder.containers.append(label)
+            opened.append(node)
+        else:
+            holder.branches.append(label)
+        stack.append(node)
     flush()
     while len(stack) > 1:
         pop()
+    root.last = len(out.blocks)
+    root.shape = ",".join(root.branches)
     if marked:
-        blocks = [b for b in blocks if b.article]
-    return blocks, styles
+        out.kept = [k and i for k, i in zip(out.kept, inside, strict=True)]
+    out.nodes = [o for o in opened if o.last > o.first]
+    for o in opened:
+        above = o.parent
+        o.place = _hash(f"{above.place}>{' '.join(above.containers)}>{o.label}>{o.rank}") if above else 0
+        o.article = o.article or any(inside[o.first : o.last]) if o.last > o.first else o.article
+    return out
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """(page, copy, host, kind, path, parent, value, block, article): kind 't' for each block's text, 's' for each element's style.
+#: What a row tells of each of its nodes, as arrays of equal length.
+FIELDS = {"place": "long", "parent": "long", "variety": "long", "shape": "long", "value": "long", "key": "long", "first": "int", "last": "int", "plain": "int", "kind": "int"}
+#: Bits of `kind`.
+WEIGHED, LEVEL, BODY, ARTICLE = 1, 2, 4, 8
 
-    Styles that a page repeats under one path are told once. `copy` is the digest of the page's texts in order.
-    """
+
+def _columns(page: Page) -> tuple[np.ndarray, ...]:
+    hashes = [_hash(b) for b in page.blocks]
+    plain = np.concatenate([[0], np.cumsum(page.plain)])
+    rows = []
+    for o in page.nodes:
+        value = hashes[o.first] if o.last - o.first == 1 else _hash(",".join(map(str, hashes[o.first : o.last])))
+        weighed = o.tag in CONTAINERS and not o.heads and not o.article
+        kind = WEIGHED * weighed | LEVEL * (o.tag in LEVELS or o.parent is None) | BODY * (o.tag in ("body", "html", "")) | ARTICLE * o.article
+        rows.append((o.place, o.parent.place if o.parent else 0, _hash(" ".join(o.children)), _hash(o.shape), value, _hash(f"{o.place} {value}"), o.first, o.last, plain[o.last] - plain[o.first], kind))
+    table = np.array(rows, np.int64).reshape(-1, len(FIELDS))
+    return tuple(table[:, k].astype(np.int64 if t == "long" else np.int32) for k, t in enumerate(FIELDS.values()))
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, copy, blocks, kept, nodes) of (page_id, url, host, html); `copy` is the digest of what roles leave."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page, host, source in zip(batch["page"], batch["host"], batch["html"], strict=True):
-                blocks, styles = parse(source)
-                copy = _hash("\n".join(b.text for b in blocks))
-                rows += [(page, copy, host, "t", _hash(b.path), _hash(b.path.rpartition("/")[0]), _hash(b.text), k, b.article) for k, b in enumerate(blocks)]
-                rows += [(page, copy, host, "s", _hash(path), 0, _hash(style), -1, False) for path, style in {p: s for p, s in styles}.items()]
-            yield pd.DataFrame(rows, columns=["page", "copy", "host", "kind", "path", "parent", "value", "block", "article"])
+            for source in batch["html"]:
+                page = parse(source)
+                rows.append((_hash(page.text()), page.blocks, page.kept, *_columns(page)))
+            yield pd.concat([batch[["page_id", "url", "host"]].reset_index(drop=True), pd.DataFrame(rows, columns=["copy", "blocks", "kept", *FIELDS])], axis=1)
 
-    return small_batches(pages).mapInPandas(run, "page long, copy long, host string, kind string, path long, parent long, value long, block int, article boolean")
+    arrays = ", ".join(f"{name} array<{kind}>" for name, kind in FIELDS.items())
+    out = through_pandas(pages, run, f"url string, host string, copy long, blocks array<string>, kept array<boolean>, {arrays}", "page_id")
+    return out.select("page_id", "url", "host", "copy", "blocks", "kept", F.arrays_zip(*FIELDS).alias("nodes")).withColumn("row", F.monotonically_increasing_id())
 
 
-def low_importance(found: DataFrame, p: Params) -> DataFrame:
-    """(host, path, value, importance): texts under a path that several pages of the host share, and whose importance is low.
+def _is(bit: int, of: str = "kind") -> Column:
+    return F.col(of).bitwiseAND(F.lit(bit)) != 0
 
-    Pages with the same texts in the same order count once, or else the text of a page that a host has often would be boilerplate.
-    """
-    styles = found.where("kind = 's'").groupBy("host", "path", "value").agg(F.countDistinct("copy").alias("n"))
-    # entropy of the styles of a path, as a share of the greatest that its pages allow
-    spread = styles.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    style = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
-    spread = spread.where(F.col("m") >= p.least_pages).select("host", F.col("path").alias("parent"), "m", style.alias("style"))
-    texts = found.where("kind = 't'").groupBy("host", "path", "parent", "value").agg(F.countDistinct("copy").alias("n"), F.max("article").alias("article")).where("n > 1")
-    both = texts.join(spread, ["host", "parent"])
-    content = 1 - F.log("n") / F.log(F.greatest("m", "n"))
-    both = both.withColumn("importance", p.style_weight * F.col("style") + (1 - p.style_weight) * content)
-    limit = F.when(F.col("article"), F.lit(p.in_article)).otherwise(F.lit(p.least_importance))
-    return both.where(F.col("importance") < limit).select("host", "path", "value", "importance")
-
-
-def extract(df: DataFrame, p: Params = Params(), key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of `df`."""
-    scratch = Scratch(df.sparkSession, "html_extraction")
-    source = F.coalesce(F.col(html), F.lit(""))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    pages = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), source.alias("html"), host.alias("host"))
-    pages = pages.withColumn("page", F.xxhash64("page_id", "url", "html"))
 
-    found = scratch.save(nodes(pages.select("page", "host", "html")))
-    low = scratch.save(low_importance(found, p))
-    few = F.broadcast(low) if low.count() <= p.broadcast_rows else low
-    cut = scratch.save(found.where("kind = 't'").join(few, ["host", "path", "value"]).groupBy("page").agg(F.collect_set("block").alias("cut")))
-    scratch.keep(cut)
-    cut = F.broadcast(cut) if cut.count() <= p.broadcast_rows // 10 else cut
+def tree(found: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame, DataFrame]:
+    """The merged trees of all hosts: their places and the texts at these.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for source, away in zip(batch["html"], batch["cut"], strict=True):
-                out = set(away) if away is not None else ()
-                texts.append("\n".join(b.text for k, b in enumerate(parse(source)[0]) if k not in out))
-            yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
+    Places: (host, place, parent, kind, m, plain, content, presentation, variety), m pages
+    and three entropies as shares of log(m). Texts: (host, place, value, key, n). Only
+    places that `least_pages` pages share are told.
+    """
+    each = found.select("host", "copy", F.explode("nodes").alias("o")).select("host", "copy", "o.*")
+    each = each.groupBy("host", "copy", "place").agg(F.min(F.struct("value", "key", "shape", "variety", "parent", "plain", "kind")).alias("o")).select("host", "place", "o.*")
+    several = each.groupBy("host", "place").agg(F.count("*").alias("m"), F.sum("plain").alias("plain"), F.min("parent").alias("parent"), F.bit_or("kind").alias("kind")).where(F.col("m") >= p.least_pages)
+    told = [F.struct(F.lit(k).alias("of"), F.col(c).alias("v"), (F.col("key") if k == 0 else F.lit(None).cast("long")).alias("key")) for k, c in enumerate(("value", "shape", "variety"))]
+    told = F.when(_is(WEIGHED | LEVEL), F.array(*told)).otherwise(F.array(told[0]))
+    seen = each.select("host", "place", F.explode(told).alias("s")).groupBy("host", "place", "s.of", "s.v", "s.key").agg(F.count("*").alias("n"))
+    seen = scratch.save(seen)
+    share = [F.sum(F.when(F.col("of") == k, F.col("n") * F.log("n"))).alias(f"x{k}") for k in range(3)]
+    places = several.join(seen.groupBy("host", "place").agg(*share), ["host", "place"])
+    entropy = lambda x: (F.log("m") - F.col(x) / F.col("m")) / F.log("m")
+    places = places.select("host", "place", "parent", "kind", "m", "plain", entropy("x0").alias("content"), entropy("x1").alias("presentation"), entropy("x2").alias("variety"))
+    return scratch.save(places), seen.where("of = 0 and n > 1").select("host", "place", F.col("v").alias("value"), "key", "n")
+
+
+def branches(places: DataFrame, p: Params) -> DataFrame:
+    """(host, place, importance) of every container whose parent is a part of the template."""
+    level = places.where(_is(LEVEL) & (_is(BODY) | (F.col("variety") < p.most_variety))).select("host", F.col("place").alias("parent"), F.col("plain").alias("of_parent"))
+    inner = places.where(_is(WEIGHED) | _is(LEVEL)).where("place <> 0").join(level, ["host", "parent"])
+    # what the parent holds besides containers counts as one more branch
+    beside = inner.groupBy("host", "parent").agg(F.max("plain").alias("largest"), (F.min("of_parent") - F.sum("plain")).alias("others"))
+    inner = inner.where(_is(WEIGHED)).join(beside, ["host", "parent"])
+    weight = F.least(F.lit(1.0), F.col("plain") / F.greatest(F.lit(1), "largest", "others"))
+    return inner.select("host", "place", (F.col("content") * (1 - (1 - F.col("presentation")) * (1 - weight))).alias("importance"))
+
+
+def unimportant(places: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """(host, key): places of branches to remove, and keys of texts to remove at their places."""
+    low = branches(places, p).where(F.col("importance") < p.least_importance).select("host", F.col("place").alias("key"))
+    often = texts.join(places.select("host", "place", "m", "kind"), ["host", "place"])
+    limit = F.when(_is(ARTICLE), F.lit(p.repeated_in_article)).otherwise(F.lit(p.repeated))
+    often = often.where(~_is(BODY) & (1 - F.log("n") / F.log("m") < limit)).select("host", "key")
+    return low.unionByName(often)
+
+
+def _removed(found: DataFrame, low: DataFrame, p: Params) -> DataFrame:
+    """Adds `gone` to each row: the keys and places of its nodes that are removed.
+
+    While the counted keys fit a broadcast, each host's go to its rows as one array, and no
+    text is shuffled; beyond, they meet the nodes of each row, and rows are joined by number.
+    """
+    if low.count() <= p.broadcast_rows:
+        return found.join(F.broadcast(low.groupBy("host").agg(F.collect_set("key").alias("gone"))), "host", "left")
+    each = found.select("row", "host", F.explode("nodes").alias("o")).select("row", "host", F.explode(F.array("o.place", "o.key")).alias("key"))
+    return found.join(each.join(low, ["host", "key"]).groupBy("row").agg(F.collect_set("key").alias("gone")), "row", "left")
 
-    return through_pandas(pages.join(cut, "page", "left").select("page_id", "url", "html", "cut"), run, "url string, text string, n_chars long", "page_id")
+
+def extract(df: DataFrame, p: Params = Params(), key: str = "page_id", url: str = "url", html: str = "html", roles: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) for every row of `df`; without `roles` the tree alone decides."""
+    scratch = Scratch(df.sparkSession, "html_extraction")
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+    found = scratch.save(parsed(df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))))
+    places, texts = tree(found, scratch, p)
+    low = scratch.save(unimportant(places, texts, p))
+    scratch.keep(found, low)
+    out = _removed(found, low, p)
+    away = F.filter("nodes", lambda o: F.array_contains("gone", o["place"]) | F.array_contains("gone", o["key"]))
+    spans = F.when(F.col("gone").isNotNull(), F.transform(away, lambda o: F.struct(o["first"].alias("first"), o["last"].alias("last"))))
+    out = out.select("page_id", "url", "blocks", "kept", spans.alias("spans"))
+    left = F.filter("blocks", lambda b, k: (F.get("kept", k) if roles else F.lit(True)) & ~F.coalesce(F.exists("spans", lambda s: (s["first"] <= k) & (k < s["last"])), F.lit(False)))
+    return out.select("page_id", "url", F.array_join(left, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

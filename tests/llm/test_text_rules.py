@@ -188,7 +188,7 @@ def page(article, more=""):
     ],
 )
 def test_pages(html, expected):
-    assert "\n".join(b.text for b in html_extraction.parse(html or "")[0]) == expected
+    assert html_extraction.parse(html or "").text() == expected
 
 
 def test_style_tree_removes_what_a_host_repeats(spark):
@@ -218,7 +218,7 @@ def test_copies_of_a_page_count_once(spark):
 
 def test_links_are_text():
     html = "<body><div><h1><a href=/x>Title</a></h1><p>Words.</p><p><a href=/y>A paragraph that is one link</a></p><ul><li><a href=/z>Source</a></ul></div></body>"
-    assert [b.text for b in html_extraction.parse(html)[0]] == ["Title", "Words.", "A paragraph that is one link", "Source"]
+    assert html_extraction.parse(html).text() == "Title\nWords.\nA paragraph that is one link\nSource"
 
 
 @pytest.mark.parametrize(
@@ -230,10 +230,10 @@ def test_links_are_text():
     ],
 )
 def test_names_inside_an_article(part, kept):
-    blocks = html_extraction.parse(f"<body><article>{part}<p>end</p></article></body>")[0]
-    assert "\n".join(b.text for b in blocks) == (f"{kept}\nend" if kept else "end")
+    text = html_extraction.parse(f"<body><article>{part}<p>end</p></article></body>").text()
+    assert text == (f"{kept}\nend" if kept else "end")
 
 
 def test_no_name_cuts_a_heading_or_paragraph():
     html = "<body><div><h2 id='related-work'>Related</h2><p class='notice'>Words</p><div class='sidebar'>gone</div></div></body>"
-    assert [b.text for b in html_extraction.parse(html)[0]] == ["Related", "Words"]
+    assert html_extraction.parse(html).text() == "Related\nWords"
