@@ -297,9 +297,9 @@ def _hash(text: str) -> int:
 
 
 #: What a row tells of each of its nodes, as arrays of equal length.
-FIELDS = {"place": "long", "parent": "long", "variety": "long", "shape": "long", "value": "long", "key": "long", "first": "int", "last": "int", "plain": "int", "kind": "int"}
+FIELDS = {"place": "long", "parent": "long", "variety": "long", "shape": "long", "value": "long", "first": "int", "last": "int", "plain": "int", "kind": "int"}
 #: Bits of `kind`.
-WEIGHED, LEVEL, BODY, ARTICLE = 1, 2, 4, 8
+CONTAINER, LEVEL, BODY, ARTICLE, HEADS = 1, 2, 4, 8, 16
 
 
 def _columns(page: Page) -> tuple[np.ndarray, ...]:
@@ -308,9 +308,9 @@ def _columns(page: Page) -> tuple[np.ndarray, ...]:
     rows = []
     for o in page.nodes:
         value = hashes[o.first] if o.last - o.first == 1 else _hash(",".join(map(str, hashes[o.first : o.last])))
-        weighed = o.tag in CONTAINERS and not o.heads and not o.article
-        kind = WEIGHED * weighed | LEVEL * (o.tag in LEVELS or o.parent is None) | BODY * (o.tag in ("body", "html", "")) | ARTICLE * o.article
-        rows.append((o.place, o.parent.place if o.parent else 0, _hash(" ".join(o.children)), _hash(o.shape), value, _hash(f"{o.place} {value}"), o.first, o.last, plain[o.last] - plain[o.first], kind))
+        kind = CONTAINER * (o.tag in CONTAINERS) | LEVEL * (o.tag in LEVELS or o.parent is None) | BODY * (o.tag in ("body", "html", "")) | ARTICLE * o.article | HEADS * o.heads
+        form = (o.parent.place if o.parent else 0, _hash(" ".join(o.children)), _hash(o.shape)) if kind & (CONTAINER | LEVEL) else (0, 0, 0)
+        rows.append((o.place, *form, value, o.first, o.last, plain[o.last] - plain[o.first], kind))
     table = np.array(rows, np.int64).reshape(-1, len(FIELDS))
     return tuple(table[:, k].astype(np.int64 if t == "long" else np.int32) for k, t in enumerate(FIELDS.values()))
 
@@ -335,34 +335,45 @@ def _is(bit: int, of: str = "kind") -> Column:
     return F.col(of).bitwiseAND(F.lit(bit)) != 0
 
 
+def _key(place: Column, value: Column) -> Column:
+    """One number for a text at a place."""
+    return F.xxhash64(place, value)
+
+
 def tree(found: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame, DataFrame]:
     """The merged trees of all hosts: their places and the texts at these.
 
     Places: (host, place, parent, kind, m, plain, content, presentation, variety), m pages
-    and three entropies as shares of log(m). Texts: (host, place, value, key, n). Only
-    places that `least_pages` pages share are told.
+    and three entropies as shares of log(m). Texts: (host, place, value, n). Only places
+    that `least_pages` pages share are told.
     """
-    each = found.select("host", "copy", F.explode("nodes").alias("o")).select("host", "copy", "o.*")
-    each = each.groupBy("host", "copy", "place").agg(F.min(F.struct("value", "key", "shape", "variety", "parent", "plain", "kind")).alias("o")).select("host", "place", "o.*")
-    several = each.groupBy("host", "place").agg(F.count("*").alias("m"), F.sum("plain").alias("plain"), F.min("parent").alias("parent"), F.bit_or("kind").alias("kind")).where(F.col("m") >= p.least_pages)
-    told = [F.struct(F.lit(k).alias("of"), F.col(c).alias("v"), (F.col("key") if k == 0 else F.lit(None).cast("long")).alias("key")) for k, c in enumerate(("value", "shape", "variety"))]
-    told = F.when(_is(WEIGHED | LEVEL), F.array(*told)).otherwise(F.array(told[0]))
-    seen = each.select("host", "place", F.explode(told).alias("s")).groupBy("host", "place", "s.of", "s.v", "s.key").agg(F.count("*").alias("n"))
-    seen = scratch.save(seen)
-    share = [F.sum(F.when(F.col("of") == k, F.col("n") * F.log("n"))).alias(f"x{k}") for k in range(3)]
-    places = several.join(seen.groupBy("host", "place").agg(*share), ["host", "place"])
+    one_each = scratch.save(found.groupBy("host", "copy").agg(F.min("row").alias("row")).select("row"))
+    one_each = F.broadcast(one_each) if one_each.count() <= p.broadcast_rows else one_each
+    each = found.select("row", "host", "nodes").join(one_each, "row", "left_semi").select("host", F.explode("nodes").alias("o")).select("host", "o.*")
+    told = [F.struct(F.lit(k).alias("of"), F.col(c).alias("v")) for k, c in enumerate(("value", "shape", "variety"))]
+    told = F.when(_is(CONTAINER | LEVEL), F.array(*told)).otherwise(F.array(told[0]))
+    seen = each.select("host", "place", "parent", "plain", "kind", F.explode(told).alias("s")).groupBy("host", "place", "s.of", "s.v")
+    seen = scratch.save(seen.agg(F.count("*").alias("n"), F.sum("plain").alias("plain"), F.min("parent").alias("parent"), F.bit_or("kind").alias("kind")))
+    of = lambda k, x: F.sum(F.when(F.col("of") == k, x))
+    places = seen.groupBy("host", "place").agg(
+        of(0, F.col("n")).alias("m"), of(0, F.col("plain")).alias("plain"), F.min("parent").alias("parent"), F.bit_or("kind").alias("kind"), *[of(k, F.col("n") * F.log("n")).alias(f"x{k}") for k in range(3)]
+    )
     entropy = lambda x: (F.log("m") - F.col(x) / F.col("m")) / F.log("m")
+    places = places.where(F.col("m") >= p.least_pages)
     places = places.select("host", "place", "parent", "kind", "m", "plain", entropy("x0").alias("content"), entropy("x1").alias("presentation"), entropy("x2").alias("variety"))
-    return scratch.save(places), seen.where("of = 0 and n > 1").select("host", "place", F.col("v").alias("value"), "key", "n")
+    return scratch.save(places), seen.where("of = 0 and n > 1").select("host", "place", F.col("v").alias("value"), "n")
 
 
 def branches(places: DataFrame, p: Params) -> DataFrame:
-    """(host, place, importance) of every container whose parent is a part of the template."""
+    """(host, place, importance) of every container whose parent is a part of the template.
+
+    Not of those that hold a title or a marked article on any page.
+    """
     level = places.where(_is(LEVEL) & (_is(BODY) | (F.col("variety") < p.most_variety))).select("host", F.col("place").alias("parent"), F.col("plain").alias("of_parent"))
-    inner = places.where(_is(WEIGHED) | _is(LEVEL)).where("place <> 0").join(level, ["host", "parent"])
+    inner = places.where(_is(CONTAINER | LEVEL)).where("place <> 0").join(level, ["host", "parent"])
     # what the parent holds besides containers counts as one more branch
     beside = inner.groupBy("host", "parent").agg(F.max("plain").alias("largest"), (F.min("of_parent") - F.sum("plain")).alias("others"))
-    inner = inner.where(_is(WEIGHED)).join(beside, ["host", "parent"])
+    inner = inner.where(_is(CONTAINER) & ~_is(ARTICLE | HEADS)).join(beside, ["host", "parent"])
     weight = F.least(F.lit(1.0), F.col("plain") / F.greatest(F.lit(1), "largest", "others"))
     return inner.select("host", "place", (F.col("content") * (1 - (1 - F.col("presentation")) * (1 - weight))).alias("importance"))
 
@@ -372,7 +383,7 @@ def unimportant(places: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     low = branches(places, p).where(F.col("importance") < p.least_importance).select("host", F.col("place").alias("key"))
     often = texts.join(places.select("host", "place", "m", "kind"), ["host", "place"])
     limit = F.when(_is(ARTICLE), F.lit(p.repeated_in_article)).otherwise(F.lit(p.repeated))
-    often = often.where(~_is(BODY) & (1 - F.log("n") / F.log("m") < limit)).select("host", "key")
+    often = often.where(~_is(BODY) & (1 - F.log("n") / F.log("m") < limit)).select("host", _key(F.col("place"), F.col("value")).alias("key"))
     return low.unionByName(often)
 
 
@@ -384,7 +395,7 @@ def _removed(found: DataFrame, low: DataFrame, p: Params) -> DataFrame:
     """
     if low.count() <= p.broadcast_rows:
         return found.join(F.broadcast(low.groupBy("host").agg(F.collect_set("key").alias("gone"))), "host", "left")
-    each = found.select("row", "host", F.explode("nodes").alias("o")).select("row", "host", F.explode(F.array("o.place", "o.key")).alias("key"))
+    each = found.select("row", "host", F.explode("nodes").alias("o")).select("row", "host", F.explode(F.array(F.col("o.place"), _key(F.col("o.place"), F.col("o.value")))).alias("key"))
     return found.join(each.join(low, ["host", "key"]).groupBy("row").agg(F.collect_set("key").alias("gone")), "row", "left")
 
 
@@ -397,7 +408,7 @@ def extract(df: DataFrame, p: Params = Params(), key: str = "page_id", url: str
     low = scratch.save(unimportant(places, texts, p))
     scratch.keep(found, low)
     out = _removed(found, low, p)
-    away = F.filter("nodes", lambda o: F.array_contains("gone", o["place"]) | F.array_contains("gone", o["key"]))
+    away = F.filter("nodes", lambda o: F.array_contains("gone", o["place"]) | F.array_contains("gone", _key(o["place"], o["value"])))
     spans = F.when(F.col("gone").isNotNull(), F.transform(away, lambda o: F.struct(o["first"].alias("first"), o["last"].alias("last"))))
     out = out.select("page_id", "url", "blocks", "kept", spans.alias("spans"))
     left = F.filter("blocks", lambda b, k: (F.get("kept", k) if roles else F.lit(True)) & ~F.coalesce(F.exists("spans", lambda s: (s["first"] <= k) & (k < s["last"])), F.lit(False)))

@@ -39,7 +39,7 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         self.tables[path] = out

@@ -96,7 +96,7 @@ def test_entropies_equal_brute_force(spark):
     for (host, place), v in at.items():
         o = v[0][4]
         above = (host, o.parent.place) if o.parent else None
-        if (host, place) not in want or above not in want or o.tag not in h.CONTAINERS or o.heads or any(x[4].article for x in v):
+        if (host, place) not in want or above not in want or o.tag not in h.CONTAINERS or any(x[4].article or x[4].heads for x in v):
             continue
         top = at[above][0][4]
         if top.tag not in ("body", "html", "") and not (top.tag in h.LEVELS and share([x[2] for x in at[above]]) < p.most_variety):
