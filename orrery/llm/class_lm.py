@@ -1,19 +1,26 @@
 """Language-model scores from a class bigram model (Brown classes found by exchange).
 
-P(word | previous) = P(class | class of the previous) * P(type | class) * P(word | type).
-
-* Words are counted over all training rows. A word whose share of the tokens is at least
-  `Params.share` is a type of its own; there are at most 1 / share of these, whatever the
-  size of the corpus, and so the table of types can be sent to every task.
-* All other words go by their endings: an ending whose words have that share together is
-  a type, and what remains is one more. P(word | type) of these comes from the word's own
-  count, by a join of the rare words of each document with the counts.
-* Exchange clustering: a pass over all encoded training rows counts, for each type, the
-  classes before and after it; each type then moves to the class that raises the
-  likelihood of the class bigrams most. Half of the types may move in a pass, so that
-  types which would follow each other don't swap for ever. After `Params.passes` passes the
-  loop ends when two passes, in which each type may move once, have raised the likelihood
-  by less than `Params.least_gain`; as it is bounded, the loop ends.
+P(word | previous) = P(class | class of the previous) * P(word | class), the latter from the
+word's own count.
+
+* Words are counted over all training rows, exactly. Those with a share of `Params.share` of
+  the tokens, of which there can't be more than 1 / share, have numbers that every task
+  knows; a rarer word goes by a hash, its slot among 2 ** slot_bits. What a word's number is
+  makes no difference to what follows; that rarer words of one slot have one class is the
+  price of a table of classes (one byte each) that can be sent to every task at any size.
+* Exchange clustering: a word or slot met at least `Params.least_count` times moves to the
+  class that raises the likelihood of the class bigrams most. All rarer words, and those
+  never met, belong to one of 2 ** ending_bits pools by a hash of their ending, and a pool
+  moves as a word does.
+* A pass counts over all training rows the class bigrams and, for those whose turn it is,
+  the classes before and after them, as sparse counts. Half of the frequent words and pools
+  have their turn in a pass, so that words which would follow each other don't swap for
+  ever; the slots of rarer words, once classes have formed, one in `Params.cycle`.
+* After `Params.passes` passes the loop ends when two passes have raised the likelihood by
+  less than `Params.least_gain`; as it is bounded, the loop ends.
+
+To the driver come the counts of frequent words, and in each pass the class bigrams and the
+moves: at most 1 / share + 2 ** slot_bits / cycle rows of two numbers, whatever the corpus.
 
 Defined cases: a null or empty text has the end token alone; repeated rows are scored, and
 counted, each; with no training row every probability comes from the smoothing; an empty
@@ -22,6 +29,8 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,18 +40,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import ascii_lower, small_batches, text_or_empty, through_pandas, words
+from .text import ascii_lower, text_or_empty, through_pandas, words
 
-END = 0  # the type of the end token, which also stands before the first word
+END = 0  # the number of the end token, which also stands before the first word
+POOLED = 255  # in a table of classes: the class is that of the pool
 
 
 @dataclass(frozen=True)
 class Params:
     share: float = 3e-6
-    ending: int = 2
+    least_count: int = 5
+    """Words met less often don't move on their own."""
+    slot_bits: int = 24
+    ending_bits: int = 4
+    ending_bytes: int = 3
     classes: int = 32
+    """At most 255."""
     passes: int = 6
     """At least so many passes of exchange."""
+    cycle: int = 4
+    """Passes in which each slot has a turn."""
+    slots_from: int = 2
+    """The first pass in which slots have turns."""
     least_gain: float = 0.005
     """In nats a token, of two passes; the loop goes on while they gain so much."""
     add: float = 0.5
@@ -51,22 +70,47 @@ class Params:
 
 
 @dataclass(frozen=True)
-class Types:
-    """The bounded tables of a model: types of words and of endings, their counts."""
+class Frequent:
+    """Frequent words and the totals of the training rows. Numbers: the end token, these words, then slots, then pools."""
 
     words: dict[bytes, int]
-    endings: dict[str, int]
-    other: int
     counts: np.ndarray
-    rare_words: np.ndarray
-    """Distinct rare words of each type; 0 for words that are types."""
+    """Of the end token and of each of these words."""
     tokens: int
     vocabulary: int
+    least: float
 
-    def __len__(self) -> int:
+    @property
+    def first_slot(self) -> int:
         return len(self.counts)
 
 
+@dataclass
+class Classes:
+    """The class of every number below the pools, and of the pools."""
+
+    of: np.ndarray
+    pools: np.ndarray
+    first_slot: int
+
+    def of_numbers(self, numbers: np.ndarray) -> np.ndarray:
+        out = self.of[numbers]
+        pooled = out == POOLED
+        if pooled.any():
+            out[pooled] = self.pools[pool_of(numbers[pooled], self.first_slot, len(self.pools))]
+        return out.astype(np.int64)
+
+
+def pool_of(numbers: np.ndarray, first_slot: int, pools: int) -> np.ndarray:
+    return (numbers - first_slot) % pools
+
+
+def slot_of(word: bytes, p: Params) -> int:
+    """The hash of a word, whose lowest bits are the hash of its ending."""
+    ending = zlib.crc32(word[-p.ending_bytes :]) >> 7 & (1 << p.ending_bits) - 1
+    return (zlib.crc32(word) << p.ending_bits & (1 << p.slot_bits) - 1) | ending
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
@@ -76,34 +120,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.where("not held_out").select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
 
-def find_types(docs: DataFrame, vocabulary: DataFrame, p: Params) -> Types:
-    """At most 1 / share words and as many endings come to the driver."""
+def find_frequent(docs: DataFrame, vocabulary: DataFrame, p: Params) -> Frequent:
+    """At most 1 / share words come to the driver."""
     ends = docs.where("not held_out").count()
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, distinct = total[0] + ends, total[1] + (ends > 0)
-    least = max(1.0, p.share * tokens)
-    often = vocabulary.where(F.col("c") >= least).orderBy(F.desc("c"), "word").collect()
-    rare = vocabulary.where(F.col("c") < least).groupBy(F.substring("word", -p.ending, p.ending).alias("ending")).agg(F.sum("c").alias("c"), F.count("*").alias("n"))
-    known = rare.where(F.col("c") >= least).orderBy("ending").collect()
-    rest = rare.where(F.col("c") < least).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    first = 1 + len(often)
-    return Types(
-        {r.word.encode(): 1 + k for k, r in enumerate(often)},
-        {r.ending: first + k for k, r in enumerate(known)},
-        first + len(known),
-        np.array([ends, *(r.c for r in often), *(r.c for r in known), rest[0]], np.int64),
-        np.array([0] * first + [r.n for r in known] + [rest[1]], np.int64),
-        tokens,
-        distinct,
-    )
-
-
-def encode(docs: DataFrame, types: Types, p: Params) -> DataFrame:
-    """(row, doc_id, held_out, types, rare): the type of each token, and the rare words."""
-    sent = docs.sparkSession.sparkContext.broadcast((types.words, types.endings, types.other))
+    least = max(float(p.least_count), p.share * tokens)
+    often = vocabulary.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toPandas()
+    return Frequent({w.encode(): 1 + k for k, w in enumerate(often["word"])}, np.array([ends, *often["c"]], np.int64), tokens, distinct, least)
+
+
+def encode(docs: DataFrame, frequent: Frequent, p: Params) -> DataFrame:
+    """(row, doc_id, held_out, numbers, rare): the number of each token, and the words that have none of their own."""
+    sent = docs.sparkSession.sparkContext.broadcast((frequent.words, frequent.first_slot))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, endings, other = sent.value
+        known, first = sent.value
         for batch in _slices(batches):
             out, rare = [], []
             for text in batch["text"]:
@@ -111,16 +143,15 @@ def encode(docs: DataFrame, types: Types, p: Params) -> DataFrame:
                 ids = [known.get(w, -1) for w in split]
                 missing = []
                 if -1 in ids:
-                    at = [k for k, i in enumerate(ids) if i < 0]
-                    missing = [split[k].decode() for k in at]
-                    for k, w in zip(at, missing, strict=True):
-                        ids[k] = endings.get(w[-p.ending :], other)
+                    missing = [split[k] for k, i in enumerate(ids) if i < 0]
+                    slots = iter([first + slot_of(w, p) for w in missing])
+                    ids = [i if i >= 0 else next(slots) for i in ids]
                 ids.append(END)
                 out.append(np.array(ids, "<u4").tobytes())
-                rare.append(missing)
-            yield batch[["row", "doc_id", "held_out"]].assign(types=out, rare=rare)
+                rare.append([w.decode() for w in missing])
+            yield batch[["row", "doc_id", "held_out"]].assign(numbers=out, rare=rare)
 
-    return through_pandas(docs, run, "row long, held_out boolean, types binary, rare array<string>")
+    return through_pandas(docs, run, "row long, held_out boolean, numbers binary, rare array<string>")
 
 
 def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
@@ -131,7 +162,7 @@ def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Dat
 
 
 def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Types of all tokens of a batch, those before them, and where documents begin."""
+    """Numbers of all tokens of a batch, those before them, and where documents begin."""
     now = np.frombuffer(b"".join(column), "<u4").astype(np.int64)
     sizes = np.array([len(x) // 4 for x in column], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -141,77 +172,123 @@ def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return now, before, begin
 
 
-def neighbours(encoded: DataFrame, of: np.ndarray, p: Params) -> DataFrame:
-    """(type, l0.., r0..): how often each class comes before and after each type, over all training rows."""
+def neighbours(encoded: DataFrame, of: Classes, turn: int, p: Params, tokens_at_once: int = 2_000_000) -> DataFrame:
+    """(number, code, n), sparse counts over all training rows.
+
+    For numbers that have their turn: code c < K: class c before it, K + c: class c after
+    it, and 2 K + K a + b: both, of one token. Number -1 has the class bigrams, code K a + b.
+    """
     sent = encoded.sparkSession.sparkContext.broadcast(of)
     k = p.classes
-    names = [f"{side}{c}" for side in "lr" for c in range(k)]
+    wide = 2 * k + k * k
+
+    def flat_counts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls = sent.value.astype(np.int64)
-        left = np.zeros(len(cls) * k, np.int64)
-        right = np.zeros(len(cls) * k, np.int64)
-        for batch in _slices(batches):
-            now, before, _ = _flat(batch["types"])
-            np.add.at(left, now * k + cls[before], 1)
-            np.add.at(right, before * k + cls[now], 1)
-        both = np.concatenate([left.reshape(-1, k), right.reshape(-1, k)], axis=1)
-        seen = np.flatnonzero(both.any(axis=1))
-        yield pd.DataFrame(both[seen], columns=names).assign(type=seen)[["type", *names]]
+        classes = sent.value
+        first, slots = classes.first_slot, 1 << p.slot_bits
+        bigrams = np.zeros(k * k, np.int64)
+        keys: list[np.ndarray] = []
+        held = 0
 
-    counted = small_batches(encoded).where("not held_out").select("types").mapInPandas(run, "type long, " + ", ".join(f"{n} long" for n in names))
-    return counted.groupBy("type").agg(*[F.sum(n).alias(n) for n in names])
+        def counted() -> pd.DataFrame:
+            found, n = flat_counts(keys)
+            return pd.DataFrame({"number": found // wide, "code": found % wide, "n": n})
+
+        for batch in _slices(batches):
+            now, before, begin = _flat(batch["numbers"])
+            cls = classes.of_numbers(now)
+            left = np.concatenate([[0], cls[:-1]])
+            left[begin] = 0
+            after = np.append(cls[1:], 0)  # what follows the end token belongs to no bigram
+            bigrams += np.bincount(left * k + cls, minlength=k * k)
+            pooled = classes.of[now] == POOLED
+            small = np.where(pooled, first + slots + pool_of(now, first, len(classes.pools)), now)
+            mine = (small % 2 == turn % 2) & ((now < first) | pooled) & (now != END)
+            keys += [small[mine] * wide + left[mine], small[mine] * wide + k + after[mine]]
+            if turn >= p.slots_from:
+                mine = (now >= first) & (((now - first) >> p.ending_bits) % p.cycle == turn % p.cycle)
+                keys.append(now[mine] * wide + 2 * k + left[mine] * k + after[mine])
+            held += len(now)
+            if held >= tokens_at_once:
+                yield counted()
+                keys, held = [], 0
+        yield counted()
+        yield pd.DataFrame({"number": -1, "code": np.flatnonzero(bigrams), "n": bigrams[bigrams > 0]})
+
+    rows = encoded.where("not held_out").select("numbers").mapInPandas(run, "number long, code int, n long")
+    return rows.repartition("number").groupBy("number", "code").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
 
-def transitions(counted: DataFrame, of: np.ndarray, p: Params) -> np.ndarray:
-    """Class bigram counts, K by K, summed from the types' rows on the executors."""
-    sent = counted.sparkSession.sparkContext.broadcast(of)
-    after = [f"r{c}" for c in range(p.classes)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[after].groupby(sent.value[batch["type"].to_numpy()]).sum().rename_axis("c").reset_index()
-
-    rows = counted.select("type", *after).mapInPandas(run, "c long, " + ", ".join(f"{n} long" for n in after)).groupBy("c").agg(*[F.sum(n).alias(n) for n in after]).collect()
-    out = np.zeros((p.classes, p.classes))
-    for r in rows:
-        out[r[0]] = r[1:]
-    return out
-
-
-def best_classes(counted: DataFrame, of: np.ndarray, bigrams: np.ndarray, turn: int, p: Params) -> DataFrame:
-    """(type, class): where each type of this turn's half raises the likelihood most."""
+def transitions(counted: DataFrame, p: Params) -> np.ndarray:
+    """Class bigram counts, K by K."""
+    out = np.zeros(p.classes**2)
+    for r in counted.where("number = -1").collect():
+        out[r.code] = r.n
+    return out.reshape(p.classes, p.classes)
+
+
+def histograms(codes: list, counts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes before and after each of several numbers, from their sparse counts."""
+    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    code, n = np.concatenate(codes).astype(np.int64), np.concatenate(counts).astype(float)
+    pair = code - 2 * k
+    both = pair >= 0
+    left, right = np.zeros((len(codes), k)), np.zeros((len(codes), k))
+    one = code < k
+    np.add.at(left, (row[one], code[one]), n[one])
+    one = (code >= k) & ~both
+    np.add.at(right, (row[one], code[one] - k), n[one])
+    np.add.at(left, (row[both], pair[both] // k), n[both])
+    np.add.at(right, (row[both], pair[both] % k), n[both])
+    return left, right
+
+
+def gains(left: np.ndarray, right: np.ndarray, a: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Likelihood, but for a constant, with each word (its classes before and after, its class a now) in each class."""
+    before, after = g.sum(axis=0), g.sum(axis=1)
+    nl, nr = left.sum(axis=1), right.sum(axis=1)
+    # the class bigrams as they would be without the word, then with it in class b
+    rows, cols = g[a] - right, g[:, a].T - left
+    i = np.arange(len(a))
+    base_rows, base_cols = np.repeat(g[None], len(a), 0), np.repeat(g.T[None], len(a), 0)
+    base_rows[i, a], base_cols[i, a] = np.maximum(rows, 0), np.maximum(cols, 0)
+    gain = (_xlogx(base_rows + right[:, None, :]) - _xlogx(base_rows)).sum(axis=2) + (_xlogx(base_cols + left[:, None, :]) - _xlogx(base_cols)).sum(axis=2)
+    out_a, out_b = np.repeat(after[None], len(a), 0), np.repeat(before[None], len(a), 0)
+    out_a[i, a] = np.maximum(out_a[i, a] - nr, 0)
+    out_b[i, a] = np.maximum(out_b[i, a] - nl, 0)
+    gain -= _xlogx(out_a + nr[:, None]) - _xlogx(out_a) + _xlogx(out_b + nl[:, None]) - _xlogx(out_b)
+    gain[:, 0] = -np.inf  # the end token is alone in its class
+    return gain
+
+
+def best_classes(counted: DataFrame, of: Classes, bigrams: np.ndarray, p: Params) -> DataFrame:
+    """(number, class) of those that move: where each raises the likelihood most."""
     sent = counted.sparkSession.sparkContext.broadcast((of, bigrams))
-    k = p.classes
+    last = of.first_slot + (1 << p.slot_bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls, g = sent.value
-        before, after = g.sum(axis=0), g.sum(axis=1)
+        classes, g = sent.value
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                t = part["type"].to_numpy()
-                left, right = part.iloc[:, 1 : 1 + k].to_numpy(float), part.iloc[:, 1 + k : 1 + 2 * k].to_numpy(float)
-                nl, nr = left.sum(axis=1), right.sum(axis=1)
-                # the class bigrams as they would be without the type, then with it in class b
-                a = cls[t]
-                rows, cols = g[a] - right, g[:, a].T - left
-                base_rows, base_cols = np.repeat(g[None], len(t), 0), np.repeat(g.T[None], len(t), 0)
-                i = np.arange(len(t))
-                base_rows[i, a], base_cols[i, a] = np.maximum(rows, 0), np.maximum(cols, 0)
-                gain = (_xlogx(base_rows + right[:, None, :]) - _xlogx(base_rows)).sum(axis=2) + (_xlogx(base_cols + left[:, None, :]) - _xlogx(base_cols)).sum(axis=2)
-                out_a, out_b = np.repeat(after[None], len(t), 0), np.repeat(before[None], len(t), 0)
-                out_a[i, a] -= nr
-                out_b[i, a] -= nl
-                gain -= _xlogx(out_a + nr[:, None]) - _xlogx(out_a) + _xlogx(out_b + nl[:, None]) - _xlogx(out_b)
-                gain[:, 0] = -np.inf  # the end token is alone in its class
-                yield pd.DataFrame({"type": t, "class": np.where((t % 2 == turn % 2) & (t != END), gain.argmax(axis=1), a)})
-
-    return counted.mapInPandas(run, "type long, class long")
+                left, right = histograms(list(part["codes"]), list(part["counts"]), p.classes)
+                t = part["number"].to_numpy()
+                enough = (left.sum(axis=1) >= p.least_count) | (t >= last)
+                t, left, right = t[enough], left[enough], right[enough]
+                if len(t):
+                    a = np.where(t >= last, classes.pools[np.maximum(t - last, 0) % len(classes.pools)], classes.of_numbers(np.minimum(t, last - 1)))
+                    best = gains(left, right, a, g).argmax(axis=1)
+                    fresh = (best != a) | (classes.of[np.minimum(t, last - 1)] == POOLED) & (t < last)
+                    yield pd.DataFrame({"number": t[fresh], "class": best[fresh]})
+
+    each = counted.where("number >= 0").groupBy("number").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
+    return each.mapInPandas(run, "number long, class int")
 
 
 def likelihood(bigrams: np.ndarray) -> float:
@@ -220,39 +297,58 @@ def likelihood(bigrams: np.ndarray) -> float:
     return float(parts / max(bigrams.sum(), 1))
 
 
-def exchange(encoded: DataFrame, types: Types, scratch: Scratch, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """The class of every type, and the class bigram counts; starts from classes dealt by frequency."""
-    of = np.where(np.arange(len(types)) == END, 0, 1 + np.arange(len(types)) % (p.classes - 1))
+def start_classes(frequent: Frequent, p: Params) -> Classes:
+    """Frequent words dealt by frequency, pools in turn, all slots pooled."""
+    deal = lambda n: (1 + np.arange(n) % (p.classes - 1)).astype(np.uint8)
+    of = np.full(frequent.first_slot + (1 << p.slot_bits), POOLED, np.uint8)
+    of[1 : frequent.first_slot] = deal(frequent.first_slot - 1)
+    of[END] = 0
+    return Classes(of, deal(1 << p.ending_bits), frequent.first_slot)
+
+
+def exchange(encoded: DataFrame, frequent: Frequent, scratch: Scratch, p: Params) -> tuple[Classes, np.ndarray]:
+    """The class of every number, and the class bigram counts."""
+    of = start_classes(frequent, p)
+    last = of.first_slot + (1 << p.slot_bits)
     reached: list[float] = []
     while True:
-        counted = scratch.save(neighbours(encoded, of, p))
-        bigrams = transitions(counted, of, p)
+        turn = len(reached)
+        counted = scratch.save(neighbours(encoded, of, turn, p))
+        bigrams = transitions(counted, p)
         reached.append(likelihood(bigrams))
-        turn = len(reached) - 1
         if turn >= max(2, p.passes) and reached[-1] - reached[-3] < p.least_gain:
             scratch.discard(counted)
             return of, bigrams
-        moved = best_classes(counted, of, bigrams, turn, p).collect()  # a row for each type
+        moved = best_classes(counted, of, bigrams, p).toPandas()
         scratch.discard(counted)
-        of = of.copy()
-        for r in moved:
-            of[r[0]] = r[1]
+        number, to = moved["number"].to_numpy(np.int64), moved["class"].to_numpy(np.uint8)
+        of = Classes(of.of.copy(), of.pools.copy(), of.first_slot)
+        of.of[number[number < last]] = to[number < last]
+        of.pools[number[number >= last] - last] = to[number >= last]
 
 
-def score_tables(types: Types, of: np.ndarray, bigrams: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of the transitions, of the emissions by type, and of the base by type.
+def distinct_by_class(vocabulary: DataFrame, frequent: Frequent, of: Classes, p: Params) -> np.ndarray:
+    """How many distinct training words each class has."""
+    sent = vocabulary.sparkSession.sparkContext.broadcast(of)
 
-    For rare words the part log10(c + add) is left out; it comes from the join.
-    """
-    n = np.bincount(of, types.counts, p.classes)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            numbers = np.array([sent.value.first_slot + slot_of(w.encode(), p) for w in batch["word"]], np.int64)
+            found, n = np.unique(sent.value.of_numbers(numbers), return_counts=True)
+            yield pd.DataFrame({"class": found, "n": n})
+
+    out = np.bincount(of.of[: of.first_slot], minlength=p.classes) - (frequent.counts[END] == 0) * (np.arange(p.classes) == 0)
+    for r in vocabulary.where(F.col("c") < frequent.least).select("word").mapInPandas(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        out[r[0]] += r.n
+    return out
+
+
+def score_tables(bigrams: np.ndarray, distinct: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the transitions, and of what a word's count + add is divided by, for each class: its known words and one unknown."""
+    n = bigrams.sum(axis=0)
     unigram = (n + p.add) / (n.sum() + p.add * p.classes)
     move = (bigrams + p.backing * unigram) / (bigrams.sum(axis=1, keepdims=True) + p.backing)
-    members = np.bincount(of, minlength=p.classes)
-    emit = (types.counts + p.add) / (n[of] + p.add * members[of])
-    rare = np.arange(len(types)) > len(types.words)
-    inside = np.where(rare, 1 / (types.counts + p.add * (types.rare_words + 1)), 1.0)
-    base = np.where(rare, 1.0, types.counts + p.add) / (types.tokens + p.add * (types.vocabulary + 1))
-    return np.log10(move), np.log10(emit) + np.log10(inside), np.log10(base)
+    return np.log10(move), np.log10(n + p.add * (distinct + 1))
 
 
 def score(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,26 +356,34 @@ def score(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
     scratch = Scratch(df.sparkSession, "class_lm")
     docs = df.select(F.col(key).alias("doc_id"), ascii_lower(text_or_empty(text)).alias("text")).withColumn("held_out", held_out())
     vocabulary = scratch.save(count_words(docs))
-    types = find_types(docs, vocabulary, p)
-    encoded = scratch.save(encode(docs.withColumn("row", F.monotonically_increasing_id()), types, p))
-    of, bigrams = exchange(encoded, types, scratch, p)
+    frequent = find_frequent(docs, vocabulary, p)
+    encoded = scratch.save(encode(docs.withColumn("row", F.monotonically_increasing_id()), frequent, p))
+    of, bigrams = exchange(encoded, frequent, scratch, p)
+    tables = score_tables(bigrams, distinct_by_class(vocabulary, frequent, of, p), p)
     scratch.keep(vocabulary, encoded)
-    sent = df.sparkSession.sparkContext.broadcast((of, len(types.words), int(types.counts[END] > 0), *score_tables(types, of, bigrams, p)))
+    sent = df.sparkSession.sparkContext.broadcast((of, np.log10(frequent.counts + p.add), int(frequent.counts[END] > 0), *tables))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls, often, end_known, move, emit, base = sent.value
+        classes, own, end_known, move, divisor = sent.value
         for batch in _slices(batches):
-            now, before, begin = _flat(batch["types"])
+            now, _, begin = _flat(batch["numbers"])
+            cls = classes.of_numbers(now)
+            left = np.concatenate([[0], cls[:-1]])
+            left[begin] = 0
+            often = now < classes.first_slot
+            counts = np.where(often, own[np.where(often, now, 0)], 0.0)  # of the others it comes from the join
             per = lambda x: np.add.reduceat(x, begin)
             yield batch[["row", "doc_id", "held_out"]].assign(
-                n_tokens=per(np.ones(len(now), np.int64)), n_often=per((now <= often).astype(np.int64)) - 1 + end_known, part_base=per(base[now]), part=per(move[cls[before], cls[now]] + emit[now])
+                n_tokens=per(np.ones(len(now), np.int64)), n_often=per(often.astype(np.int64)) - 1 + end_known, counts=per(counts), moves=per(move[left, cls] - divisor[cls])
             )
 
-    parts = through_pandas(encoded.select("row", "doc_id", "held_out", "types"), run, "row long, held_out boolean, n_tokens long, n_often long, part_base double, part double")
+    parts = through_pandas(encoded.select("row", "doc_id", "held_out", "numbers"), run, "row long, held_out boolean, n_tokens long, n_often long, counts double, moves double")
     each = encoded.select("row", F.explode("rare").alias("word"))
-    counted = each.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + p.add)).alias("rare"), F.count("c").alias("met"))
-    both = parts.join(counted, "row", "left").fillna(0, ["rare", "met"])
-    value = F.col("part") + F.col("rare")
+    rare = each.join(vocabulary.where(F.col("c") < frequent.least), "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + p.add)).alias("rare"), F.count("c").alias("met"))
+    both = parts.join(rare, "row", "left").fillna(0, ["rare", "met"])
+    counts, value = F.col("counts") + F.col("rare"), F.col("moves") + F.col("counts") + F.col("rare")
+    whole = math.log10(frequent.tokens + p.add * (frequent.vocabulary + 1))
     return both.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.col("met")).cast("long").alias("n_known"), F.lit(types.tokens).cast("long").alias("train_tokens"),
-        (F.col("part_base") + F.col("rare")).alias("base_score"), value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_often") + F.col("met")).cast("long").alias("n_known"), F.lit(frequent.tokens).cast("long").alias("train_tokens"),
+        (counts - F.col("n_tokens") * whole).alias("base_score"), value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
     )
