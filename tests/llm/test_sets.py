@@ -76,6 +76,19 @@ def test_near_copies_with_short_sketches_still_equal_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 4)
 
 
+def test_near_copies_without_chance_and_with_hot_centres_in_pieces(spark):
+    texts = corpus(11)
+    for p in (near_dedup.Params(shingle=4, **near_dedup.EXACT), near_dedup.Params(shingle=4, block_rows=2), near_dedup.Params(shingle=4, k=24, overlap=7, broadcast_rows=0, block_rows=3, star_rounds=0)):
+        got = near_dedup.assign(frame(spark, texts), p).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 4)
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    got = {r.doc_id: r.component_id for r in near_dedup.assign(frame(spark, [" ".join(words), " ".join(words[5_000:]), " ".join(words[30_000:])])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_near_copies_among_repeated_rows(spark):
     texts = corpus(5)
     rows = [(k, t) for k, t in enumerate(texts)] + [(k, texts[k]) for k in range(6, len(texts), 2)]
@@ -89,6 +102,8 @@ def test_near_copies_of_odd_tables(spark):
     same = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.assign(same).collect()}
     assert got == {(1, 1, True), (2, 1, False), (None, None, True)}
+    lent = spark.createDataFrame([(5, "a b c d e f"), (1, "a b c d e f"), (5, ""), (6, None), (6, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.assign(lent).collect()) == [(1, 1, True), (5, 1, False), (5, 1, False), (6, 6, True), (6, 6, True)]
 
 
 def brute_hits(texts, items):
