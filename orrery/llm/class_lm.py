@@ -36,11 +36,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import ascii_lower, text_or_empty, through_pandas, words
+from .text import ascii_lower, sliced, text_or_empty, through_pandas, words
 
 END = 0  # the number of the end token, which also stands before the first word
 POOLED = 255  # in a table of classes: the class is that of the pool
@@ -93,6 +94,13 @@ class Classes:
     pools: np.ndarray
     first_slot: int
 
+    def __getstate__(self) -> tuple:
+        return zlib.compress(self.of.tobytes(), 1), self.pools, self.first_slot
+
+    def __setstate__(self, state: tuple) -> None:
+        self.of = np.frombuffer(zlib.decompress(state[0]), np.uint8)
+        self.pools, self.first_slot = state[1:]
+
     def of_numbers(self, numbers: np.ndarray) -> np.ndarray:
         out = self.of[numbers]
         pooled = out == POOLED
@@ -136,7 +144,7 @@ def encode(docs: DataFrame, frequent: Frequent, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, first = sent.value
-        for batch in _slices(batches):
+        for batch in batches:
             out, rare = [], []
             for text in batch["text"]:
                 split = text.encode().split()  # at the six ASCII spaces
@@ -154,31 +162,19 @@ def encode(docs: DataFrame, frequent: Frequent, p: Params) -> DataFrame:
     return through_pandas(docs, run, "row long, held_out boolean, numbers binary, rare array<string>")
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """Parts of the batches, so that what a part needs besides stays small."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
-
-
-def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all tokens of a batch, those before them, and where documents begin."""
+def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all tokens of a batch, and where documents begin."""
     now = np.frombuffer(b"".join(column), "<u4").astype(np.int64)
     sizes = np.array([len(x) // 4 for x in column], np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[begin] = END
-    return now, before, begin
+    return now, np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def neighbours(encoded: DataFrame, of: Classes, turn: int, p: Params, tokens_at_once: int = 2_000_000) -> DataFrame:
-    """(number, code, n), sparse counts over all training rows.
+def neighbours(encoded: DataFrame, sent: Broadcast, turn: int, p: Params, tokens_at_once: int = 2_000_000) -> DataFrame:
+    """(number, code, n), sparse counts over all training rows; `sent` holds the classes.
 
     For numbers that have their turn: code c < K: class c before it, K + c: class c after
     it, and 2 K + K a + b: both, of one token. Number -1 has the class bigrams, code K a + b.
     """
-    sent = encoded.sparkSession.sparkContext.broadcast(of)
     k = p.classes
     wide = 2 * k + k * k
 
@@ -196,8 +192,8 @@ def neighbours(encoded: DataFrame, of: Classes, turn: int, p: Params, tokens_at_
             found, n = flat_counts(keys)
             return pd.DataFrame({"number": found // wide, "code": found % wide, "n": n})
 
-        for batch in _slices(batches):
-            now, before, begin = _flat(batch["numbers"])
+        for batch in sliced(batches):
+            now, begin = _flat(batch["numbers"])
             cls = classes.of_numbers(now)
             left = np.concatenate([[0], cls[:-1]])
             left[begin] = 0
@@ -267,13 +263,11 @@ def gains(left: np.ndarray, right: np.ndarray, a: np.ndarray, g: np.ndarray) ->
     return gain
 
 
-def best_classes(counted: DataFrame, of: Classes, bigrams: np.ndarray, p: Params) -> DataFrame:
+def best_classes(counted: DataFrame, sent: Broadcast, bigrams: np.ndarray, p: Params) -> DataFrame:
     """(number, class) of those that move: where each raises the likelihood most."""
-    sent = counted.sparkSession.sparkContext.broadcast((of, bigrams))
-    last = of.first_slot + (1 << p.slot_bits)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, g = sent.value
+        classes, g = sent.value, bigrams
+        last = classes.first_slot + (1 << p.slot_bits)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
@@ -313,14 +307,17 @@ def exchange(encoded: DataFrame, frequent: Frequent, scratch: Scratch, p: Params
     reached: list[float] = []
     while True:
         turn = len(reached)
-        counted = scratch.save(neighbours(encoded, of, turn, p))
+        sent = encoded.sparkSession.sparkContext.broadcast(of)
+        counted = scratch.save(neighbours(encoded, sent, turn, p))
         bigrams = transitions(counted, p)
         reached.append(likelihood(bigrams))
         if turn >= max(2, p.passes) and reached[-1] - reached[-3] < p.least_gain:
             scratch.discard(counted)
+            sent.destroy()
             return of, bigrams
-        moved = best_classes(counted, of, bigrams, p).toPandas()
+        moved = best_classes(counted, sent, bigrams, p).toPandas()
         scratch.discard(counted)
+        sent.destroy()
         number, to = moved["number"].to_numpy(np.int64), moved["class"].to_numpy(np.uint8)
         of = Classes(of.of.copy(), of.pools.copy(), of.first_slot)
         of.of[number[number < last]] = to[number < last]
@@ -332,7 +329,7 @@ def distinct_by_class(vocabulary: DataFrame, frequent: Frequent, of: Classes, p:
     sent = vocabulary.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, 5_000):
             numbers = np.array([sent.value.first_slot + slot_of(w.encode(), p) for w in batch["word"]], np.int64)
             found, n = np.unique(sent.value.of_numbers(numbers), return_counts=True)
             yield pd.DataFrame({"class": found, "n": n})
@@ -340,6 +337,7 @@ def distinct_by_class(vocabulary: DataFrame, frequent: Frequent, of: Classes, p:
     out = np.bincount(of.of[: of.first_slot], minlength=p.classes) - (frequent.counts[END] == 0) * (np.arange(p.classes) == 0)
     for r in vocabulary.where(F.col("c") < frequent.least).select("word").mapInPandas(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
         out[r[0]] += r.n
+    sent.destroy()
     return out
 
 
@@ -365,8 +363,8 @@ def score(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes, own, end_known, move, divisor = sent.value
-        for batch in _slices(batches):
-            now, _, begin = _flat(batch["numbers"])
+        for batch in batches:
+            now, begin = _flat(batch["numbers"])
             cls = classes.of_numbers(now)
             left = np.concatenate([[0], cls[:-1]])
             left[begin] = 0

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +26,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_within: ContextVar[str | None] = ContextVar("within", default=None)
+
+
 class Scratch:
     """Written tables of one run of an operator.
 
     `discard` removes a table that a loop has replaced, `keep` all but those that a lazy
-    result still reads; these stay until the cluster clears its folder.
+    result still reads. These stay until the cluster clears its folder, or until the end of
+    the block `inside` of a caller that owns what the operators in it write.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{_within.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.made = 0
         self.tables: dict[str, DataFrame] = {}
 
+    @contextmanager
+    def inside(self, label: str) -> Iterator[None]:
+        """All that operators write in this block goes at its end; their results must have been written by then."""
+        path = f"{self.root}/{label}"
+        before = _within.set(path)
+        try:
+            yield
+        finally:
+            _within.reset(before)
+            self._delete(path)
+
     def save(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}"
@@ -54,6 +72,8 @@ class Scratch:
     def discard(self, df: DataFrame | None) -> None:
         path = getattr(df, "scratch_path", None)
         if self.tables.pop(path, None) is not None:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,22 +28,17 @@ def words(col: Column) -> Column:
     return F.filter(F.split(col, SPACES), lambda w: w != "")
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """The frame itself; from now on the session sends Python at most so many rows at a time.
-
-    Texts can be long, and the default of 10,000 rows lets a batch of them outgrow a worker.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if now <= 0 or now > rows:
-        df.sparkSession.conf.set(name, str(rows))
-    return df
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Parts of the batches: what a function makes of one part is bounded, however many rows Spark sends at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows].reset_index(drop=True)
 
 
 def through_pandas(df: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
-    """mapInPandas with the key as text on the way: pandas would turn a column of integers with a null into floats."""
+    """mapInPandas over small parts, with the key as text on the way: pandas would turn a column of integers with a null into floats."""
     kind = df.schema[key].dataType
-    out = small_batches(df).withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"{key} string, {schema}")
+    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(lambda batches: run(sliced(batches)), f"{key} string, {schema}")
     return out.withColumn(key, F.col(key).cast(kind))
 
 

@@ -144,7 +144,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, p: Params) -> dict[str, fl
 def _sample(df: DataFrame, rows: int) -> DataFrame:
     """At most about `rows` rows by a hash of the id, the same ones in every run."""
     n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
 def score(documents: DataFrame, labels: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -156,7 +156,7 @@ def score(documents: DataFrame, labels: DataFrame, p: Params = Params(), key: st
     learned = learn_lexicon(docs, told, p)
     rows = scratch.save(featurize(docs, learned, p))
 
-    known = rows.where("remainder = 4").join(told, "doc_id").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 6).alias("grows"), F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("x"))
+    known = rows.where("remainder = 4").join(told, "doc_id").select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(10)) < 6).alias("grows"), F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("x"))
     grow, adjust = (scratch.save(_sample(known.where(F.col("grows") == g), p.sample_rows)) for g in (True, False))
     out = rows.select("doc_id", (F.col("remainder") == 0).alias("held_out"), "features")
     if grow.select("label").distinct().count() < 2:

@@ -125,9 +125,9 @@ def test_a_move_is_the_best_of_all_classes(spark):
     train = [np.frombuffer(bytes(r.numbers), "<u4").astype(np.int64) for r in encoded.where("not held_out").collect()]
     moved_ids = set()
     for turn in (0, 1, 2, 3, 4, 5):
-        counted = scratch.save(class_lm.neighbours(encoded, of, turn, LM, tokens_at_once=500))
+        counted = scratch.save(class_lm.neighbours(encoded, spark.sparkContext.broadcast(of), turn, LM, tokens_at_once=500))
         bigrams = class_lm.transitions(counted, LM)
-        moves = {r.number: r["class"] for r in class_lm.best_classes(counted, of, bigrams, LM).collect()}
+        moves = {r.number: r["class"] for r in class_lm.best_classes(counted, spark.sparkContext.broadcast(of), bigrams, LM).collect()}
         moved_ids |= set(moves)
         for number, to in moves.items():
 
