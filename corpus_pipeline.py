@@ -1,7 +1,10 @@
 """From raw documents to training sequences: five stages, each over all that the one before kept.
 
-Rows that share an id are one document: a stage drops or keeps them together, and
-near-dedup leaves one of them.
+Defined cases, in every stage: rows that share an id are one document, so a stage drops or
+keeps them together, and near-dedup leaves the row with the longest text; a row without an
+id is a document of its own, judged by its own text and never a copy of another; a null
+text is an empty one, stays null where texts are carried, and packs as its end token alone;
+an empty table gives an empty result; all other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,11 +15,15 @@ from pyspark.sql import functions as F
 from orrery.llm import decontamination, filters, near_dedup, packing, pii, toxicity
 from orrery.llm.store import Scratch
 
+KEY = "_pipeline_key"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a calibrated score under one half."""
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return filters.without(docs, scored.where("predicted = 1"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn(KEY, F.col("doc_id").cast("string"))
+    docs = filters.keyed(docs, KEY)
+    scored = toxicity.score(docs, labels, key=KEY).where("predicted = 1")
+    return filters.without(docs, scored.withColumnRenamed("doc_id", KEY), KEY).drop(KEY)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return filters.without(docs, found.where("n_hit > 0"))
+    docs = filters.keyed(docs, KEY)
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY).where("n_hit > 0")
+    return filters.without(docs, found.withColumnRenamed("doc_id", KEY), KEY).drop(KEY)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +57,16 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trees, tokenizers and the curve have no form in SQL; a test holds run() against a plain model.
+#: Trees, tokenizers and the curve have no form in SQL; a test holds every stage against a plain model.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        before = docs
+        with scratch.inside(name):
+            docs = scratch.save(stage(spark, docs, sf_dir))
         scratch.discard(before)
     return docs
