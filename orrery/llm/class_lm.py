@@ -5,17 +5,17 @@ word's own count.
 
 * Words are counted over all training rows, exactly. Those with a share of `Params.share` of
   the tokens, of which there can't be more than 1 / share, have numbers that every task
-  knows; a rarer word goes by a hash, its slot among 2 ** slot_bits. What a word's number is
-  makes no difference to what follows; that rarer words of one slot have one class is the
-  price of a table of classes (one byte each) that can be sent to every task at any size.
+  knows; a rarer word goes by a hash, its slot among 2 ** slot_bits. Both are clustered
+  alike; that rarer words of one slot have one class is the price of a table of classes (one
+  byte each) that can be sent to every task at any size.
 * Exchange clustering: a word or slot met at least `Params.least_count` times moves to the
   class that raises the likelihood of the class bigrams most. All rarer words, and those
   never met, belong to one of 2 ** ending_bits pools by a hash of their ending, and a pool
   moves as a word does.
 * A pass counts over all training rows the class bigrams and, for those whose turn it is,
-  the classes before and after them, as sparse counts. Half of the frequent words and pools
-  have their turn in a pass, so that words which would follow each other don't swap for
-  ever; the slots of rarer words, once classes have formed, one in `Params.cycle`.
+  the classes before and after them, as sparse counts. Half of the words and pools have
+  their turn in a pass, so that words which would follow each other don't swap for ever;
+  slots begin in the second pass, when the frequent words have left their first classes.
 * After `Params.passes` passes the loop ends when two passes have raised the likelihood by
   less than `Params.least_gain`; as it is bounded, the loop ends.
 
@@ -41,10 +41,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .text import ascii_lower, sliced, text_or_empty, through_pandas, words
+from .text import SPACES, ascii_lower, sliced, text_or_empty, through_pandas
 
 END = 0  # the number of the end token, which also stands before the first word
 POOLED = 255  # in a table of classes: the class is that of the pool
+RARE, POOL = 1 << 31, 1 << 32
 
 
 @dataclass(frozen=True)
@@ -52,16 +53,17 @@ class Params:
     share: float = 3e-6
     least_count: int = 5
     """Words met less often don't move on their own."""
-    slot_bits: int = 24
-    ending_bits: int = 4
-    ending_bytes: int = 3
+    slot_bits: int = 23
+    ending_bits: int = 8
+    """With the bits of slots at most 31."""
+    ending_bytes: int = 2
     classes: int = 32
     """At most 255."""
     passes: int = 6
     """At least so many passes of exchange."""
-    cycle: int = 4
+    cycle: int = 2
     """Passes in which each slot has a turn."""
-    slots_from: int = 2
+    slots_from: int = 1
     """The first pass in which slots have turns."""
     least_gain: float = 0.005
     """In nats a token, of two passes; the loop goes on while they gain so much."""
@@ -72,7 +74,7 @@ class Params:
 
 @dataclass(frozen=True)
 class Frequent:
-    """Frequent words and the totals of the training rows. Numbers: the end token, these words, then slots, then pools."""
+    """Frequent words, numbered from 1, and the totals of the training rows."""
 
     words: dict[bytes, int]
     counts: np.ndarray
@@ -81,42 +83,56 @@ class Frequent:
     vocabulary: int
     least: float
 
-    @property
-    def first_slot(self) -> int:
-        return len(self.counts)
-
 
 @dataclass
 class Classes:
-    """The class of every number below the pools, and of the pools."""
+    """The classes of the end token and frequent words, of slots, and of pools.
+
+    A number below RARE is a frequent word; above, the low bits are a slot and those over
+    them a pool. A pool itself is named POOL + pool where its moves are told.
+    """
 
-    of: np.ndarray
+    words: np.ndarray
+    slots: np.ndarray
     pools: np.ndarray
-    first_slot: int
 
     def __getstate__(self) -> tuple:
-        return zlib.compress(self.of.tobytes(), 1), self.pools, self.first_slot
+        return self.words, zlib.compress(self.slots.tobytes(), 1), self.pools
 
     def __setstate__(self, state: tuple) -> None:
-        self.of = np.frombuffer(zlib.decompress(state[0]), np.uint8)
-        self.pools, self.first_slot = state[1:]
+        self.words, packed, self.pools = state
+        self.slots = np.frombuffer(zlib.decompress(packed), np.uint8)
+
+    def slot(self, numbers: np.ndarray) -> np.ndarray:
+        return numbers & len(self.slots) - 1
+
+    def pool(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers & RARE - 1) // len(self.slots)
 
     def of_numbers(self, numbers: np.ndarray) -> np.ndarray:
-        out = self.of[numbers]
-        pooled = out == POOLED
-        if pooled.any():
-            out[pooled] = self.pools[pool_of(numbers[pooled], self.first_slot, len(self.pools))]
-        return out.astype(np.int64)
+        rare = np.flatnonzero(numbers >= RARE)
+        out = self.words[np.where(numbers < RARE, numbers, 0)].astype(np.int64)
+        own = self.slots[self.slot(numbers[rare])]
+        out[rare] = np.where(own == POOLED, self.pools[self.pool(numbers[rare])], own)
+        return out
 
+    def moved(self, names: np.ndarray, to: np.ndarray) -> Classes:
+        """Of words that share a slot the last one in the arrays has its way."""
+        out = Classes(self.words.copy(), self.slots.copy(), self.pools.copy())
+        word, pool = names < RARE, names >= POOL
+        rare = ~word & ~pool
+        out.words[names[word]], out.slots[self.slot(names[rare])], out.pools[names[pool] - POOL] = to[word], to[rare], to[pool]
+        return out
 
-def pool_of(numbers: np.ndarray, first_slot: int, pools: int) -> np.ndarray:
-    return (numbers - first_slot) % pools
+    def now(self, names: np.ndarray) -> np.ndarray:
+        pool = names >= POOL
+        return np.where(pool, self.pools[np.where(pool, names - POOL, 0)], self.of_numbers(np.where(pool, 0, names)))
 
 
-def slot_of(word: bytes, p: Params) -> int:
-    """The hash of a word, whose lowest bits are the hash of its ending."""
-    ending = zlib.crc32(word[-p.ending_bytes :]) >> 7 & (1 << p.ending_bits) - 1
-    return (zlib.crc32(word) << p.ending_bits & (1 << p.slot_bits) - 1) | ending
+def rare_number(word: bytes, p: Params) -> int:
+    """RARE, the pool by a hash of the word's ending, the slot by a hash of the word."""
+    pool = zlib.crc32(word[-p.ending_bytes :]) >> 7 & (1 << p.ending_bits) - 1
+    return RARE | pool << p.slot_bits | zlib.crc32(word) & (1 << p.slot_bits) - 1
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -125,7 +141,8 @@ def held_out(key: str = "doc_id") -> Column:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over the training rows of (held_out, text)."""
-    return docs.where("not held_out").select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    each = docs.where("not held_out").select(F.explode(F.split("text", SPACES)).alias("word")).where("word <> ''")
+    return each.groupBy("word").agg(F.count("*").alias("c"))
 
 
 def find_frequent(docs: DataFrame, vocabulary: DataFrame, p: Params) -> Frequent:
@@ -140,10 +157,10 @@ def find_frequent(docs: DataFrame, vocabulary: DataFrame, p: Params) -> Frequent
 
 def encode(docs: DataFrame, frequent: Frequent, p: Params) -> DataFrame:
     """(row, doc_id, held_out, numbers, rare): the number of each token, and the words that have none of their own."""
-    sent = docs.sparkSession.sparkContext.broadcast((frequent.words, frequent.first_slot))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent.words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, first = sent.value
+        known = sent.value
         for batch in batches:
             out, rare = [], []
             for text in batch["text"]:
@@ -152,8 +169,8 @@ def encode(docs: DataFrame, frequent: Frequent, p: Params) -> DataFrame:
                 missing = []
                 if -1 in ids:
                     missing = [split[k] for k, i in enumerate(ids) if i < 0]
-                    slots = iter([first + slot_of(w, p) for w in missing])
-                    ids = [i if i >= 0 else next(slots) for i in ids]
+                    others = iter([rare_number(w, p) for w in missing])
+                    ids = [i if i >= 0 else next(others) for i in ids]
                 ids.append(END)
                 out.append(np.array(ids, "<u4").tobytes())
                 rare.append([w.decode() for w in missing])
@@ -170,7 +187,7 @@ def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbours(encoded: DataFrame, sent: Broadcast, turn: int, p: Params, tokens_at_once: int = 2_000_000) -> DataFrame:
-    """(number, code, n), sparse counts over all training rows; `sent` holds the classes.
+    """(number, codes, counts), sparse counts over all training rows; `sent` holds the classes.
 
     For numbers that have their turn: code c < K: class c before it, K + c: class c after
     it, and 2 K + K a + b: both, of one token. Number -1 has the class bigrams, code K a + b.
@@ -183,14 +200,18 @@ def neighbours(encoded: DataFrame, sent: Broadcast, turn: int, p: Params, tokens
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = sent.value
-        first, slots = classes.first_slot, 1 << p.slot_bits
         bigrams = np.zeros(k * k, np.int64)
+        common: list[np.ndarray] = []
         keys: list[np.ndarray] = []
         held = 0
 
-        def counted() -> pd.DataFrame:
+        def counted() -> Iterator[pd.DataFrame]:
+            # half of the frequent words are a table, slots a sorted list
+            dense = np.bincount(np.concatenate(common), minlength=1)
+            found = np.flatnonzero(dense)
+            yield pd.DataFrame({"number": found // (2 * k) * 2 + turn % 2, "code": found % (2 * k), "n": dense[found]})
             found, n = flat_counts(keys)
-            return pd.DataFrame({"number": found // wide, "code": found % wide, "n": n})
+            yield pd.DataFrame({"number": found // wide, "code": found % wide, "n": n})
 
         for batch in sliced(batches):
             now, begin = _flat(batch["numbers"])
@@ -199,22 +220,29 @@ def neighbours(encoded: DataFrame, sent: Broadcast, turn: int, p: Params, tokens
             left[begin] = 0
             after = np.append(cls[1:], 0)  # what follows the end token belongs to no bigram
             bigrams += np.bincount(left * k + cls, minlength=k * k)
-            pooled = classes.of[now] == POOLED
-            small = np.where(pooled, first + slots + pool_of(now, first, len(classes.pools)), now)
-            mine = (small % 2 == turn % 2) & ((now < first) | pooled) & (now != END)
-            keys += [small[mine] * wide + left[mine], small[mine] * wide + k + after[mine]]
+            mine = np.flatnonzero((now < RARE) & (now % 2 == turn % 2) & (now != END))
+            at = now[mine] // 2 * (2 * k)
+            common += [at + left[mine], at + k + after[mine]]
+            mine = np.flatnonzero(now >= RARE)
+            rare, before, behind = now[mine], left[mine], after[mine]
+            slot, pool = classes.slot(rare), classes.pool(rare)
+            of_pool = (classes.slots[slot] == POOLED) & (pool % 2 == turn % 2)
+            names = (POOL + pool[of_pool]) * wide
+            keys += [names + before[of_pool], names + k + behind[of_pool]]
             if turn >= p.slots_from:
-                mine = (now >= first) & (((now - first) >> p.ending_bits) % p.cycle == turn % p.cycle)
-                keys.append(now[mine] * wide + 2 * k + left[mine] * k + after[mine])
+                turned = slot % p.cycle == turn % p.cycle
+                keys.append(rare[turned] * wide + 2 * k + before[turned] * k + behind[turned])
             held += len(now)
             if held >= tokens_at_once:
-                yield counted()
-                keys, held = [], 0
-        yield counted()
+                yield from counted()
+                common, keys, held = [], [], 0
+        if held:
+            yield from counted()
         yield pd.DataFrame({"number": -1, "code": np.flatnonzero(bigrams), "n": bigrams[bigrams > 0]})
 
     rows = encoded.where("not held_out").select("numbers").mapInPandas(run, "number long, code int, n long")
-    return rows.repartition("number").groupBy("number", "code").agg(F.sum("n").alias("n"))
+    # one shuffle: what lies together by number lies together by number and code
+    return rows.repartition("number").groupBy("number", "code").agg(F.sum("n").alias("n")).groupBy("number").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -224,8 +252,8 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def transitions(counted: DataFrame, p: Params) -> np.ndarray:
     """Class bigram counts, K by K."""
     out = np.zeros(p.classes**2)
-    for r in counted.where("number = -1").collect():
-        out[r.code] = r.n
+    for r in counted.where("number = -1").collect():  # one row
+        out[r.codes] = r.counts
     return out.reshape(p.classes, p.classes)
 
 
@@ -246,43 +274,50 @@ def histograms(codes: list, counts: list, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def gains(left: np.ndarray, right: np.ndarray, a: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Likelihood, but for a constant, with each word (its classes before and after, its class a now) in each class."""
-    before, after = g.sum(axis=0), g.sum(axis=1)
-    nl, nr = left.sum(axis=1), right.sum(axis=1)
-    # the class bigrams as they would be without the word, then with it in class b
-    rows, cols = g[a] - right, g[:, a].T - left
-    i = np.arange(len(a))
-    base_rows, base_cols = np.repeat(g[None], len(a), 0), np.repeat(g.T[None], len(a), 0)
-    base_rows[i, a], base_cols[i, a] = np.maximum(rows, 0), np.maximum(cols, 0)
-    gain = (_xlogx(base_rows + right[:, None, :]) - _xlogx(base_rows)).sum(axis=2) + (_xlogx(base_cols + left[:, None, :]) - _xlogx(base_cols)).sum(axis=2)
-    out_a, out_b = np.repeat(after[None], len(a), 0), np.repeat(before[None], len(a), 0)
-    out_a[i, a] = np.maximum(out_a[i, a] - nr, 0)
-    out_b[i, a] = np.maximum(out_b[i, a] - nl, 0)
-    gain -= _xlogx(out_a + nr[:, None]) - _xlogx(out_a) + _xlogx(out_b + nl[:, None]) - _xlogx(out_b)
+    """What moving each word (its classes before and after, its class a now) to each class adds to the likelihood, in nats.
+
+    Exact for a word that never follows itself. Rows and columns of the class bigrams
+    change for a and the new class b, and their four crossings by both.
+    """
+    f, i, diag = _xlogx, np.arange(len(a)), np.diag(g)
+    row, col, before, after = g[a], g[:, a].T, g.sum(axis=0), g.sum(axis=1)
+    nl, nr = left.sum(axis=1)[:, None], right.sum(axis=1)[:, None]
+
+    def apart(change: np.ndarray) -> np.ndarray:
+        """Sums of (word, b, class) over classes other than a and b."""
+        return change.sum(axis=2) - change[i, :, a] - np.einsum("tbb->tb", change)
+
+    def left_behind(change: np.ndarray) -> np.ndarray:
+        """The same of (word, class) where only the sum depends on b."""
+        return (change.sum(axis=1) - change[i, a])[:, None] - change
+
+    less = lambda x: f(np.maximum(x, 0))
+    gain = apart(f(g[None] + right[:, None, :]) - f(g)) + apart(f(g.T[None] + left[:, None, :]) - f(g.T))
+    gain += left_behind(less(row - right) - f(row)) + left_behind(less(col - left) - f(col))
+    ra, la, aa = right[i, a][:, None], left[i, a][:, None], diag[a][:, None]
+    gain += less(aa - ra - la) - f(aa) + less(row - right + la) - f(row) + less(col + ra - left) - f(col) + f(diag + right + left) - f(diag)
+    gain -= less(after[a][:, None] - nr) - f(after[a])[:, None] + f(after + nr) - f(after)
+    gain -= less(before[a][:, None] - nl) - f(before[a])[:, None] + f(before + nl) - f(before)
+    gain[i, a] = 0
     gain[:, 0] = -np.inf  # the end token is alone in its class
     return gain
 
 
 def best_classes(counted: DataFrame, sent: Broadcast, bigrams: np.ndarray, p: Params) -> DataFrame:
-    """(number, class) of those that move: where each raises the likelihood most."""
+    """(number, class, n) of those that move: where each raises the likelihood most; n tokens follow."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, g = sent.value, bigrams
-        last = classes.first_slot + (1 << p.slot_bits)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                left, right = histograms(list(part["codes"]), list(part["counts"]), p.classes)
-                t = part["number"].to_numpy()
-                enough = (left.sum(axis=1) >= p.least_count) | (t >= last)
-                t, left, right = t[enough], left[enough], right[enough]
-                if len(t):
-                    a = np.where(t >= last, classes.pools[np.maximum(t - last, 0) % len(classes.pools)], classes.of_numbers(np.minimum(t, last - 1)))
-                    best = gains(left, right, a, g).argmax(axis=1)
-                    fresh = (best != a) | (classes.of[np.minimum(t, last - 1)] == POOLED) & (t < last)
-                    yield pd.DataFrame({"number": t[fresh], "class": best[fresh]})
-
-    each = counted.where("number >= 0").groupBy("number").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
-    return each.mapInPandas(run, "number long, class int")
+        classes = sent.value
+        for batch in sliced(batches, 256):
+            left, right = histograms(list(batch["codes"]), list(batch["counts"]), p.classes)
+            t = batch["number"].to_numpy()
+            enough = (left.sum(axis=1) >= p.least_count) | (t >= POOL)
+            t, left, right = t[enough], left[enough], right[enough]
+            if len(t):
+                own = classes.now(t)
+                best = gains(left, right, own, bigrams).argmax(axis=1)
+                yield pd.DataFrame({"number": t, "class": best, "n": left.sum(axis=1)})[best != own]
+
+    return counted.where("number >= 0").mapInPandas(run, "number long, class int, n double")
 
 
 def likelihood(bigrams: np.ndarray) -> float:
@@ -294,16 +329,12 @@ def likelihood(bigrams: np.ndarray) -> float:
 def start_classes(frequent: Frequent, p: Params) -> Classes:
     """Frequent words dealt by frequency, pools in turn, all slots pooled."""
     deal = lambda n: (1 + np.arange(n) % (p.classes - 1)).astype(np.uint8)
-    of = np.full(frequent.first_slot + (1 << p.slot_bits), POOLED, np.uint8)
-    of[1 : frequent.first_slot] = deal(frequent.first_slot - 1)
-    of[END] = 0
-    return Classes(of, deal(1 << p.ending_bits), frequent.first_slot)
+    return Classes(np.append(np.uint8(0), deal(len(frequent.words))), np.full(1 << p.slot_bits, POOLED, np.uint8), deal(1 << p.ending_bits))
 
 
 def exchange(encoded: DataFrame, frequent: Frequent, scratch: Scratch, p: Params) -> tuple[Classes, np.ndarray]:
     """The class of every number, and the class bigram counts."""
     of = start_classes(frequent, p)
-    last = of.first_slot + (1 << p.slot_bits)
     reached: list[float] = []
     while True:
         turn = len(reached)
@@ -311,17 +342,14 @@ def exchange(encoded: DataFrame, frequent: Frequent, scratch: Scratch, p: Params
         counted = scratch.save(neighbours(encoded, sent, turn, p))
         bigrams = transitions(counted, p)
         reached.append(likelihood(bigrams))
-        if turn >= max(2, p.passes) and reached[-1] - reached[-3] < p.least_gain:
-            scratch.discard(counted)
-            sent.destroy()
-            return of, bigrams
-        moved = best_classes(counted, sent, bigrams, p).toPandas()
+        done = turn >= max(2, p.passes) and reached[-1] - reached[-3] < p.least_gain
+        if not done:
+            moved = best_classes(counted, sent, bigrams, p).toPandas().sort_values(["n", "number"])
+            of = of.moved(moved["number"].to_numpy(np.int64), moved["class"].to_numpy(np.uint8))
         scratch.discard(counted)
         sent.destroy()
-        number, to = moved["number"].to_numpy(np.int64), moved["class"].to_numpy(np.uint8)
-        of = Classes(of.of.copy(), of.pools.copy(), of.first_slot)
-        of.of[number[number < last]] = to[number < last]
-        of.pools[number[number >= last] - last] = to[number >= last]
+        if done:
+            return of, bigrams
 
 
 def distinct_by_class(vocabulary: DataFrame, frequent: Frequent, of: Classes, p: Params) -> np.ndarray:
@@ -330,11 +358,11 @@ def distinct_by_class(vocabulary: DataFrame, frequent: Frequent, of: Classes, p:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in sliced(batches, 5_000):
-            numbers = np.array([sent.value.first_slot + slot_of(w.encode(), p) for w in batch["word"]], np.int64)
+            numbers = np.array([rare_number(w.encode(), p) for w in batch["word"]], np.int64)
             found, n = np.unique(sent.value.of_numbers(numbers), return_counts=True)
             yield pd.DataFrame({"class": found, "n": n})
 
-    out = np.bincount(of.of[: of.first_slot], minlength=p.classes) - (frequent.counts[END] == 0) * (np.arange(p.classes) == 0)
+    out = np.bincount(of.words, minlength=p.classes) - (frequent.counts[END] == 0) * (np.arange(p.classes) == 0)
     for r in vocabulary.where(F.col("c") < frequent.least).select("word").mapInPandas(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
         out[r[0]] += r.n
     sent.destroy()
@@ -368,7 +396,7 @@ def score(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
             cls = classes.of_numbers(now)
             left = np.concatenate([[0], cls[:-1]])
             left[begin] = 0
-            often = now < classes.first_slot
+            often = now < RARE
             counts = np.where(often, own[np.where(often, now, 0)], 0.0)  # of the others it comes from the join
             per = lambda x: np.add.reduceat(x, begin)
             yield batch[["row", "doc_id", "held_out"]].assign(

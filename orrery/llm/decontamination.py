@@ -1,24 +1,26 @@
 """Benchmark passages in documents, by a prefix-filtered set join.
 
 A window of an item is a set of shingles, and a document contains the window only if it
-contains all of them. So by the prefix rule one necessary shingle is enough to look for:
-the one that is rarest in the corpus. The steps:
-
-1. Shingles of the documents are joined with those of the items, and the matches, few
-   against the corpus, are written with their places.
-2. The matches give each item shingle its rarity. Every window keeps its rarest shingle;
-   a window with a shingle that no document has is out.
-3. Matches of kept shingles are candidates. The place of the shingle in its window gives
-   the start; starts below zero or too near the end of the document are out.
-4. The words of the document at each start are compared with the words of the window.
-
-All steps are DataFrame functions. Item shingles are broadcast if their counted rows are
-few; beyond that the join is shuffled.
+contains all of them. So by the prefix rule one necessary shingle is enough to look for,
+and the rarer it is the fewer places have to be looked at. The steps:
+
+1. The words of all documents are cut once and written.
+2. The words of the items are counted in all documents, a partial aggregate and no more.
+   Shingles are ordered by the count that these word counts let expect. Every window keeps
+   its first shingle in that order; a window with a word that no document has is out.
+3. The kept shingles alone are joined with the shingles of the documents. The place of the
+   shingle in its window gives the start of a candidate; starts below zero or too near the
+   end of the document are out.
+4. The words of candidate documents, and of no others, are moved to their candidates and
+   compared with the words of the window at each start.
+
+All steps are DataFrame functions. Item words, item shingles and the numbers of candidate
+rows are broadcast if their counted rows are few; beyond that the joins are shuffled.
 
 Defined cases: a null text has no words; an item without words has no window; an item
 with fewer words than a window is one window; equal windows of several items count for
-each item; repeated rows are each judged by their own text; an empty table of items
-leaves all documents clean. Other columns of the inputs are not read.
+each item; repeated rows, and rows without an id, are each judged by their own text; an
+empty table of items leaves all documents clean. Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -62,13 +64,26 @@ def windows(items: DataFrame, p: Params, item: str = "item_id", text: str = "tex
     return out.withColumn("h", h).withColumn("window", F.xxhash64("item", "w"))
 
 
-def matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], p: Params) -> DataFrame:
-    """(doc_id, n_words, at, h): places of item shingles in documents."""
-    out = docs.select("doc_id", plain_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+def rarity(cut: DataFrame, parts: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
+    """(h, expected): for each item shingle whose words all occur in documents, the logarithm of its expected count, but for a constant."""
+    each = parts.select("h", F.slice("w", F.col("offset") + 1, F.col("size")).alias("s")).dropDuplicates(["h"]).select("h", F.size("s").alias("size"), F.explode("s").alias("word"))
+    words = _few(scratch.save(each.select("word").distinct()), p)
+    counts = scratch.save(cut.select(F.explode("w").alias("word")).join(words, "word").groupBy("word").agg(F.count("*").alias("n")))
+    found = each.join(_few(counts, p), "word").groupBy("h", "size").agg(F.sum(F.log("n")).alias("expected"), F.count("*").alias("known"))
+    return found.where("known = size").select("h", "expected")
+
+
+def _few(df: DataFrame, p: Params) -> DataFrame:
+    """A written table, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= p.broadcast_rows else df
+
+
+def matches(cut: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(row, n_words, at, h): places of the shingles in documents."""
     found = None
     for size in sizes:
         hashed = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: _shingle(F.col("w"), i, size))  # noqa: B023
-        one = out.where(F.size("w") >= size).select("doc_id", F.size("w").alias("n_words"), F.posexplode(hashed).alias("at", "h")).join(shingles, "h")
+        one = cut.where(F.col("n_words") >= size).select("row", "n_words", F.posexplode(hashed).alias("at", "h")).join(shingles, "h")
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -79,39 +94,33 @@ def decontaminate(documents: DataFrame, items: DataFrame, p: Params = Params(),
     item_ids are strings in order; hit_spans are (start, length) of the occurrences, in words.
     """
     scratch = Scratch(documents.sparkSession, "decontamination")
-    docs = documents.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
+    cut = documents.select(F.col(key).alias("doc_id"), plain_words(text_or_empty(text)).alias("w")).withColumn("n_words", F.size("w"))
     parts = scratch.save(windows(items, p, item, item_text))
     sizes = [r.size for r in parts.select("size").distinct().orderBy("size").collect()]  # at most p.shingle
     if not sizes:
-        none = docs.select("doc_id", F.size(plain_words(F.col("text"))).cast("long").alias("n_words"))
+        none = cut.select("doc_id", F.col("n_words").cast("long").alias("n_words"))
         return none.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,length:int>>").alias("hit_spans"))
 
-    shingles = scratch.save(parts.select("h").distinct())
-    small = shingles.count() <= p.broadcast_rows
-    found = scratch.save(matches(docs, F.broadcast(shingles) if small else shingles, sizes, p))
-
-    rarity = found.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = parts.join(rarity, "h", "left")
-    prefix = ranked.groupBy("window", "item", "w", "length").agg(F.min(F.struct("df", "h", "offset")).alias("rarest"), F.count("df").alias("present"), F.count("*").alias("all"))
+    cut = scratch.save(cut.withColumn("row", F.monotonically_increasing_id()))
+    ranked = parts.join(_few(scratch.save(rarity(cut, parts, scratch, p)), p), "h", "left")
+    prefix = ranked.groupBy("window", "item", "w", "length").agg(F.min(F.struct("expected", "h", "offset")).alias("rarest"), F.count("expected").alias("present"), F.count("*").alias("all"))
     prefix = scratch.save(prefix.where("present = `all`").select("item", "w", "length", F.col("rarest.h").alias("h"), F.col("rarest.offset").alias("offset")))
-    if prefix.count() <= p.broadcast_rows:
-        prefix = F.broadcast(prefix)
+    found = scratch.save(matches(cut, _few(scratch.save(prefix.select("h").distinct()), p), sizes))
+
     start = F.col("at") - F.col("offset")
-    placed = found.join(prefix, "h").withColumn("start", start).where("start >= 0 and start + length <= n_words")
-    candidates = scratch.save(placed.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length", "w", F.col("item").cast("string").alias("item"))).alias("tried")))
-
-    scratch.keep(candidates)
-
-    both = docs.join(candidates.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    both = both.select("doc_id", "tried", plain_words(F.col("text")).alias("w"))
-    hit = F.filter(F.coalesce("tried", F.array().cast(both.schema["tried"].dataType)), lambda c: F.slice(F.col("w"), c["start"] + 1, c["length"]) == c["w"])
-    both = both.select("doc_id", F.size("w").cast("long").alias("n_words"), hit.alias("hits"))
-    both = both.select(
-        "doc_id",
-        "n_words",
+    placed = found.join(_few(prefix, p), "h").withColumn("start", start).where("start >= 0 and start + length <= n_words")
+    tried = scratch.save(placed.groupBy("row").agg(F.collect_set(F.struct("start", "length", "w", F.col("item").cast("string").alias("item"))).alias("tried")))
+    words = cut.select("row", "w").join(_few(scratch.save(tried.select("row")), p), "row", "left_semi")
+    hit = F.filter("tried", lambda c: F.slice(F.col("w"), c["start"] + 1, c["length"]) == c["w"])
+    both = words.join(tried, "row").select("row", hit.alias("hits")).where(F.size("hits") > 0)
+    both = scratch.save(both.select(
+        "row",
         F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["item"]))).alias("item_ids"),
         F.array_sort(F.array_distinct(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"))))).alias("hit_spans"),
-    )
+    ))
+    scratch.keep(cut, both)
+    both = cut.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(_few(both, p), "row", "left")
+    both = both.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("item_ids", "hit_spans")])
     # spans are in order and the words that one adds are those past the furthest end so far
     covered = F.aggregate(
         "hit_spans",

@@ -6,6 +6,9 @@ the identifiers of a text, in order, are matched against licence rules in their
 more specific first. What a rule has matched is used up, so that the words of one licence
 are not counted for another. All of it happens inside the row, with built-in functions.
 
+A sentence that speaks of being licensed, but names no licence that a pattern knows, has an
+identifier of its own (`some-licence`), which no rule uses.
+
 Defined cases: a null or empty text has no sentence and no licence; repeated rows are each
 scanned; sentences that belong to no rule are counted as left over, which marks texts that
 speak of an unknown licence; an empty table gives an empty result. Other columns are not
@@ -22,9 +25,6 @@ from pyspark.sql import functions as F
 
 from .text import text_or_empty
 
-#: The gate of the SQL twin alone. It misses branches of the patterns below, so the scan doesn't use it.
-CUE = "licen|copyright|warrant|permission|permitted|redistribut|spdx|public domain|liab|neither the name|gnu |unlicense|cc0|creative commons|notice"
-
 COMMENT = r"(^|\n)[ \t]*(?://+|/?\*+/?|#+|;+|--+|<!--|dnl |rem )"
 
 #: Identifiers of sentences, and what describes them in normalised text.
@@ -32,7 +32,7 @@ SENTENCES = (
     ("spdx", r"spdx-license-identifier: *[a-z0-9.+-]+"),
     ("copyright", r"(?:copyright|\(c\)|©).{0,40}[0-9]{4}"),
     ("all-rights", r"all rights reserved"),
-    ("apache-2-named", r"apache (?:software )?licen[cs]e,? ?(?:,? ?v(?:ersion)?\.? ?2(?:\.0)?)"),
+    ("apache-2-named", r"apache (?:software )?licen[cs]e,? ?\(?(?:v(?:ersion)?\.? ?)?2(?:\.0)?\b|\bapache[ -]2(?:\.0)?\b"),
     ("apache-obtain", r"you may obtain a copy of the licen[cs]e at"),
     ("apache-except", r"you may not use this file except in compliance with the licen[cs]e"),
     ("apache-as-is", r"distributed under the licen[cs]e is distributed on an .?as is.? basis"),
@@ -41,6 +41,8 @@ SENTENCES = (
     ("mit-notice", r"above copyright notice and this permission notice shall be included"),
     ("as-is", r"software is provided .?as is.?,? without warranty of any kind"),
     ("no-liability", r"in no event shall the .{0,80}be liable"),
+    ("bsd-3-named", r"\bbsd[ -](?:3|three)[ -]clause\b|\b(?:3|three)[ -]clause bsd\b"),
+    ("bsd-2-named", r"\bbsd[ -](?:2|two)[ -]clause\b|\b(?:2|two)[ -]clause bsd\b"),
     ("bsd-named", r"(?:licensed|released|distributed|available|covered).{0,40}\bbsd\b|\bbsd(?:-style)? licen[cs]e\b"),
     ("bsd-grant", r"redistribution and use in source and binary forms.{0,60}are permitted"),
     ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
@@ -48,11 +50,12 @@ SENTENCES = (
     ("bsd-endorse", r"neither the name .{0,120}may be used to endorse"),
     ("bsd-as-is", r"this software is provided by .{0,120}as is"),
     ("isc-grant", r"permission to use, copy, modify, and/?(?:or)? distribute this software for any purpose"),
-    ("gpl-named", r"gnu general public licen[cs]e|\bgnu gpl\b|\bgpl ?v?[23]\b"),
-    ("lgpl-named", r"gnu (?:lesser|library) general public licen[cs]e|\blgpl ?v?[23]"),
-    ("agpl-named", r"gnu affero general public licen[cs]e|\bagpl ?v?3"),
-    ("gnu-version-2", r"(?:general public licen[cs]e|\bgpl).{0,40}(?:version|v)\.? ?2|version 2 of the licen[cs]e"),
-    ("gnu-version-3", r"(?:general public licen[cs]e|\bgpl).{0,40}(?:version|v)\.? ?3|version 3 of the licen[cs]e"),
+    ("gpl-named", r"gnu general public licen[cs]e|\bgnu gpl\b|\bgpl[ -]?v?[123]\b"),
+    ("lgpl-named", r"gnu (?:lesser|library) general public licen[cs]e|\blgpl[ -]?v?[23]"),
+    ("agpl-named", r"gnu affero general public licen[cs]e|\bagpl[ -]?v?[0-9]"),
+    ("gnu-version-1", r"(?:general public licen[cs]e|\b[al]?gpl).{0,40}(?:version|v)\.? ?1|\b[al]?gpl[ -]1|version 1 of the licen[cs]e"),
+    ("gnu-version-2", r"(?:general public licen[cs]e|\b[al]?gpl).{0,40}(?:version|v)\.? ?2|\b[al]?gpl[ -]2|version 2 of the licen[cs]e"),
+    ("gnu-version-3", r"(?:general public licen[cs]e|\b[al]?gpl).{0,40}(?:version|v)\.? ?3|\b[al]?gpl[ -]3|version 3 of the licen[cs]e"),
     ("gnu-later", r"or .{0,20}any later version"),
     ("gnu-useful", r"distributed in the hope that it will be useful"),
     ("gnu-copy", r"you should have received a copy of the gnu"),
@@ -74,14 +77,17 @@ SENTENCES = tuple((k, p.replace(r"(?!-)", r"(?:[^-]|$)")) for k, p in SENTENCES)
 
 #: In normalised text, whatever a branch of a pattern above matches holds one of these.
 CUES = (
-    "licen", "copyright", "(c)", "©", "gpl", "permission", "warrant", "liab", "redistribution", "spdx-", "bsd", "public domain", "cc by", "cc-by", "cc0", "creative commons", "all rights reserved",
+    "licen", "copyright", "apache 2", "apache-2", "(c)", "©", "gpl", "permission", "warrant", "liab", "redistribution", "spdx-", "bsd", "public domain", "cc by", "cc-by", "cc0", "creative commons", "all rights reserved",
     "neither the name", "software is provided by", "any later version", "in the hope that it", "copy of the gnu", "unauthori", "proprietary and confidential", "released under", "distributed under",
 )
 
 #: Licence rules in order; identifiers of a rule follow each other with any others between.
 RULES = (
+    ("Unlicense", ("unlicense", "public-domain")),
     ("Unlicense", ("unlicense",)),
-    ("AGPL-3.0", ("agpl-named",)),
+    ("AGPL-3.0", ("agpl-named", "gnu-version-3")),
+    ("AGPL-1.0", ("agpl-named", "gnu-version-1")),
+    ("AGPL", ("agpl-named",)),
     ("LGPL-3.0", ("lgpl-named", "gnu-version-3")),
     ("LGPL-2.1", ("lgpl-named", "gnu-version-2")),
     ("LGPL", ("lgpl-named",)),
@@ -89,6 +95,7 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl-named", "gnu-version-2", "gnu-later")),
     ("GPL-3.0", ("gpl-named", "gnu-version-3")),
     ("GPL-2.0", ("gpl-named", "gnu-version-2")),
+    ("GPL-1.0", ("gpl-named", "gnu-version-1")),
     ("GPL", ("gpl-named",)),
     ("Apache-2.0", ("apache-2-named", "apache-except", "apache-obtain", "apache-as-is")),
     ("Apache-2.0", ("apache-2-named",)),
@@ -97,6 +104,11 @@ RULES = (
     ("MIT", ("mit-named",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("BSD-3-Clause", ("bsd-3-named", "bsd-named")),
+    ("BSD-3-Clause", ("bsd-3-named",)),
+    ("BSD-2-Clause", ("bsd-2-named", "bsd-named")),
+    ("BSD-2-Clause", ("bsd-2-named",)),
+    ("BSD", ("bsd-grant",)),
     ("BSD", ("bsd-named",)),
     ("ISC", ("isc-grant",)),
     ("MPL-2.0", ("mpl-2",)),
@@ -113,16 +125,26 @@ RULES = (
 
 
 SPDX = r"spdx-license-identifier:[ \t]*([a-z0-9.+-]+)"
+#: An identifier that is given outright names its licence; the patterns of sentences don't read it.
+GIVEN = r"spdx-license-identifier: *[a-z0-9.+-]+(?: (?:or|and|with) [a-z0-9.+-]+)*"
+TAKEN = "spdx-license-identifier:x"
+
+
+#: Identifiers of sentences that name a licence or grant one; beside these, being licensed says nothing more.
+NAMING = tuple(dict.fromkeys(i for _, ids in RULES for i in ids if not i.startswith("gnu-")))
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
-    """Over a text like ',a,b,c,': the identifiers in order; what stands between is captured."""
-    return "," + ",((?:[a-z0-9-]+,)*?)".join(ids) + ","
+    """Over a text like ',a,,b,,c,': the identifiers in order; what stands between is captured.
+
+    Every identifier has a comma of its own on both sides, so that neighbours match apart.
+    """
+    return "((?:,[a-z0-9-]+,)*?)".join(f",{i}," for i in ids)
 
 
 def rule_rest(ids: tuple[str, ...], group: str = "$") -> str:
     """What a match leaves: the identifiers that stood between those of the rule."""
-    return "," + "".join(f"{group}{k}" for k in range(1, len(ids)))
+    return "".join(f"{group}{k}" for k in range(1, len(ids)))
 
 
 def cued(plain: Column) -> Column:
@@ -134,12 +156,13 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
     plain = F.lower(text)
     plain = F.regexp_replace(plain, COMMENT, "$1 ")
-    plain = F.regexp_replace(plain, r"[ \t\r\n\x0B\f]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[ \t\r\n\x0B\f]+", " "), GIVEN, TAKEN)
     cut = F.split(F.regexp_replace(plain, r"([.!?;]) ", "$1\n"), "\n")
     cues = F.filter(cut, cued)
     named = lambda s: F.filter(F.array(*[F.when(s.rlike(p), F.lit(k)) for k, p in SENTENCES]), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    return F.when(cued(plain), F.flatten(F.transform(cues, named))).otherwise(none)
+    clear = lambda ids: F.filter(ids, lambda x: (x != "some-licence") | ~F.arrays_overlap(ids, F.lit(list(NAMING))))
+    return F.when(cued(plain), F.flatten(F.transform(F.transform(cues, named), clear))).otherwise(none)
 
 
 def oracle_sql() -> str:
@@ -157,18 +180,18 @@ def oracle_sql() -> str:
     return f"""
 with plain as (
   select doc_id, lower(coalesce(text, '')) as body,
-    regexp_replace(regexp_replace(lower(coalesce(text, '')), {quoted(COMMENT)}, '\\1 ', 'g'), '[ \\t\\r\\n\\x0B\\f]+', ' ', 'g') as t
+    regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), {quoted(COMMENT)}, '\\1 ', 'g'), '[ \\t\\r\\n\\x0B\\f]+', ' ', 'g'), {quoted(GIVEN)}, {quoted(TAKEN)}, 'g') as t
   from documents
 ), cut as (
-  select doc_id, body, list_filter(string_split(regexp_replace(t, '([.!?;]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(s, {quoted(CUE)})) as cues
+  select doc_id, body, string_split(regexp_replace(t, '([.!?;]) ', '\\1' || chr(10), 'g'), chr(10)) as sentences
   from plain
 ), known as (
-  select doc_id, case when regexp_matches(body, {quoted(CUE)}) then
-    flatten(list_transform(cues, lambda s: list_filter([{named}], lambda x: x is not null))) else [] end as ids,
+  select doc_id, flatten(list_transform(list_transform(sentences, lambda s: list_filter([{named}], lambda x: x is not null)),
+    lambda f: list_filter(f, lambda x: x <> 'some-licence' or not list_has_any(f, [{", ".join(quoted(i) for i in NAMING)}])))) as ids,
     list_transform(regexp_extract_all(body, {quoted(SPDX)}, 1), lambda x: 'SPDX:' || x) as spdx
   from cut
 ), r0 as (
-  select doc_id, ids, spdx, ',' || array_to_string(ids, ',') || ',' as l, []::varchar[] as found from known
+  select doc_id, ids, spdx, array_to_string(list_transform(ids, lambda x: ',' || x || ','), '') as l, []::varchar[] as found from known
 ), {", ".join(steps)}
 select doc_id, len(ids)::bigint as n_sentences, array_to_string(ids, ',') as sentence_ids,
   array_to_string(list_concat(found, list_distinct(spdx)), ',') as licences,
@@ -182,8 +205,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     body = text_or_empty(text)
     spdx = F.regexp_extract_all(F.lower(body), F.lit(SPDX), F.lit(1))
     out = df.select(F.col(key).alias("doc_id"), sentence_ids(body).alias("ids"), F.transform(spdx, lambda x: F.concat(F.lit("SPDX:"), x)).alias("spdx"))
-    # every identifier has a comma of its own on both sides, so that neighbours match apart
-    out = out.select("doc_id", "ids", "spdx", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")).alias("sequence"))
+    out = out.select("doc_id", "ids", "spdx", F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), "").alias("sequence"))
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(rule_pattern(ids)).alias("pattern"), F.lit(rule_rest(ids)).alias("rest")) for n, ids in RULES])
     fits = lambda a, r: F.call_function("rlike", a["left"], r["pattern"])
     step = lambda a, r: F.struct(

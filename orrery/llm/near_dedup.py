@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .joins import with_one_row_a_key
 from .store import Scratch
 from .text import ascii_lower, text_or_empty, words
 
@@ -62,7 +63,6 @@ class Params:
     """Tables of ids with more rows than this are joined by shuffles, never broadcast."""
     block_rows: int = 500
     """Members of a hot centre or list that meet in one task at a time."""
-    salts: int = 16
 
 
 EXACT = {"k": 1 << 30, "overlap": 1 << 29}
@@ -120,11 +120,7 @@ def _few(df: DataFrame, p: Params) -> DataFrame:
 
 
 def _by_value(lists: DataFrame, values: DataFrame, p: Params, how: str = "inner") -> DataFrame:
-    """Lists joined with a written table of at most one row a value; a value's list may be very long."""
-    if values.count() <= p.broadcast_rows:
-        return lists.join(F.broadcast(values), "value", how)
-    values = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
-    return lists.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(p.salts)).cast("int")).join(values, ["value", "_salt"], how).drop("_salt")
+    return with_one_row_a_key(lists, values, ["value"], "id", p.broadcast_rows, how)
 
 
 def _fanned(pairs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame, DataFrame]:

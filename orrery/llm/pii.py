@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a whole text finds anchors: at-signs, plus signs before a digit,
-digits joined by a dot, digits side by side or joined by a space or hyphen, schemes of
-addresses, and cue words of identifiers. From each anchor a deterministic parser of its
+digits joined by a dot, digits side by side or joined by a space or hyphen, capitals before
+two digits, schemes of addresses, and cue words of identifiers. From each anchor a deterministic parser of its
 kind expands to both sides, to the longest run that its grammar allows, and validates the
 result (octets, Luhn, digit counts, mod 97). An anchor inside a span that its kind has
 already read, whether it was accepted or not, is not read again, which makes the spans the
@@ -35,7 +35,8 @@ BASE = KINDS[:4]
 RANK = {kind: k for k, kind in enumerate(KINDS)}
 
 DIGITS = frozenset("0123456789")
-LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+LETTERS = CAPITALS | frozenset("abcdefghijklmnopqrstuvwxyz")
 LABEL = LETTERS | DIGITS | {"-"}
 LOCAL = LETTERS | DIGITS | set("._%+-")
 
@@ -50,7 +51,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![
 
 @lru_cache(maxsize=1)
 def anchors() -> ahocorasick.Automaton:
-    """Built by rule: all digit pairs with each joint, all digits after a plus sign, schemes and cues in two cases."""
+    """Built by rule: digit pairs with each joint, digits after a plus sign, capitals before two digits, schemes and cues in their cases."""
     found: dict[str, set[str]] = {"@": {"@"}}
 
     def add(pattern: str, kind: str) -> None:
@@ -62,6 +63,8 @@ def anchors() -> ahocorasick.Automaton:
             add(a + "." + b, ".")
             for joint in ("", " ", "-"):
                 add(a + joint + b, "d")
+            for letter in CAPITALS:
+                add(letter + a + b, "i")
     for scheme in SCHEMES:
         add(scheme, "s")
         add(scheme.upper(), "s")
@@ -176,7 +179,7 @@ def _is_iban(run: str) -> bool:
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, ordered by start and then by kind."""
     found: list[tuple[str, int, int]] = []
-    done = dict.fromkeys(("email", "ip", "card", "phone", "address", "account"), 0)
+    done = dict.fromkeys(("email", "ip", "card", "phone", "address", "iban", "account"), 0)
     for last, (kind, size) in anchors().iter(text):
         first = last - size + 1
         if kind == "d":
@@ -203,17 +206,18 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if first >= done["address"] and (m := ADDRESS.match(text, last + 1)):
                 done["address"] = m.end()
                 found.append(("address", first, m.end()))
+        elif kind == "i":
+            if first > done["iban"] and (m := IBAN.match(text, first - 1)):
+                done["iban"] = m.end()
+                # the run may have gone on into the words that follow: try its ends from the last
+                ends = [e for e in range(m.end(), m.start() + 14, -1) if e == m.end() or text[e] == " "]
+                if end := next((e for e in ends if _is_iban(text[m.start() : e])), 0):
+                    found.append(("iban", m.start(), end))
         elif first >= done["account"]:
             before = text[first - 1] if first else " "
             if not (before.isalnum()) and (m := CUE_VALUE.match(text, last + 1)) and any(c in DIGITS for c in m[2]):
                 done["account"] = m.end(2)
                 found.append(("account", m.start(2), m.end(2)))
-    if re.search(r"[A-Z]{2}[0-9]{2}", text):
-        for m in IBAN.finditer(text):
-            # the run may have gone on into the words that follow: try its ends from the last
-            ends = [e for e in range(m.end(), m.start() + 14, -1) if e == m.end() or text[e] == " "]
-            if end := next((e for e in ends if _is_iban(text[m.start() : e])), 0):
-                found.append(("iban", m.start(), end))
     return sorted(found, key=lambda s: (s[1], RANK[s[0]]))
 
 

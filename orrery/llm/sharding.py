@@ -11,10 +11,13 @@ quotas:
 2. Each shard admits those who want it, linked documents before single ones, until its
    quota is full. The others wait in a pool and fill, in the order of their groups, the
    places that remain. So after every round all counts are at most one apart.
-3. Rounds go on while fewer documents are cut off from the main shard of their group.
+3. Rounds go on while fewer documents are cut off from the main shard of their group. Each
+   round lowers a whole number, so they end.
 
 Places in a shard come from counts of hashed buckets and a row number inside a bucket; a
-group that is large for a bucket is salted over several. No task holds a whole shard.
+group that is large for a bucket is salted over several. No task holds a whole shard; what
+one task does see are the counts of all buckets, one number for every `bucket_rows` rows.
+What is known of a group comes to its members by a broadcast of counted size or by salts.
 
 Defined cases: a null text counts as an empty one; repeated rows each take a place; a null
 id is dealt by its null hash; fewer rows than shards leave shards empty; an empty table
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import with_one_row_a_key
 from .store import Scratch
 from .text import text_or_empty
 
@@ -35,10 +39,10 @@ from .text import text_or_empty
 @dataclass(frozen=True)
 class Params:
     shards: int = 40
-    rounds: int = 4
     bucket_rows: int = 5_000
     overhead: int = 16
     """Bytes that a document takes besides its text."""
+    broadcast_rows: int = 1_000_000
 
 
 def _ranked(df: DataFrame, within: list[str], bucket: dict[str, Column], order: list[str], out: str) -> DataFrame:
@@ -62,14 +66,14 @@ def _buckets(rows: int, p: Params) -> dict[str, Column]:
     return {"_b": F.pmod(F.xxhash64("g"), F.lit(n)).cast("int"), "_salt": F.pmod(F.xxhash64("doc_id"), pieces).cast("int")}
 
 
-def _wishes(now: DataFrame, quota: int) -> DataFrame:
+def _wishes(now: DataFrame, quota: int, scratch: Scratch, p: Params) -> DataFrame:
     """Adds `wish`, the shard that each row wants: its own, unless most of its group are elsewhere."""
     votes = now.where("members > 1").groupBy("g", "members", "shard").agg(F.count("*").alias("n"))
     full = votes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 20)).alias("tie"), "shard"))).alias("by"), F.first("members").alias("m"))
-    mains = full.select("g", F.slice(F.col("by")["shard"], F.lit(1), F.ceil(F.col("m") / quota).cast("int")).alias("mains"))
+    mains = scratch.save(full.select("g", F.slice(F.col("by")["shard"], F.lit(1), F.ceil(F.col("m") / quota).cast("int")).alias("mains")))
     other = F.get("mains", F.pmod(F.xxhash64("doc_id"), F.size("mains")).cast("int"))
     wish = F.when(F.col("mains").isNull() | F.array_contains("mains", F.col("shard")), F.col("shard")).otherwise(other)
-    return now.join(mains, "g", "left").withColumn("wish", wish).drop("mains")
+    return with_one_row_a_key(now, mains, ["g"], "doc_id", p.broadcast_rows, "left").withColumn("wish", wish).drop("mains")
 
 
 def _round(now: DataFrame, rows: int, scratch: Scratch, p: Params) -> DataFrame:
@@ -77,7 +81,7 @@ def _round(now: DataFrame, rows: int, scratch: Scratch, p: Params) -> DataFrame:
     low, more = divmod(rows, p.shards)
     quota = F.lit(low) + (F.col("wish") < more).cast("int")
     linked = (F.col("members") == 1).cast("int")
-    asked = _ranked(_wishes(now, max(1, low)), ["wish"], {"_p": linked, **_buckets(rows, p)}, ["g", "doc_id", "crc"], "place")
+    asked = _ranked(_wishes(now, max(1, low), scratch, p), ["wish"], {"_p": linked, **_buckets(rows, p)}, ["g", "doc_id", "crc"], "place")
     asked = scratch.save(asked.withColumn("admitted", F.col("place") < quota))
     # the 40 totals of wishes tell where places remain
     got = {r.wish: r["count"] for r in asked.groupBy("wish").count().collect()}
@@ -110,19 +114,20 @@ def shard(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
     docs = df.select(F.col(key).alias("doc_id"), (F.octet_length(body) + p.overhead).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"), F.xxhash64(body).alias("g"))
     docs = scratch.save(docs)
     rows = docs.count()
-    shared = docs.groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
-    start = docs.join(shared, "g", "left").fillna(1, ["members"]).withColumn("_one", F.lit(0))
+    shared = scratch.save(docs.groupBy("g").agg(F.count("*").alias("members")).where("members > 1"))
+    start = with_one_row_a_key(docs, shared, ["g"], "doc_id", p.broadcast_rows, "left").fillna(1, ["members"]).withColumn("_one", F.lit(0))
     n = max(1, rows // p.bucket_rows)
     deal = {"_b": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")}
     start = _ranked(start, ["_one"], deal, ["doc_id", "crc"], "r").withColumn("shard", (F.col("r") % p.shards).cast("int")).withColumn("slot", F.floor(F.col("r") / p.shards)).drop("r", "_one")
-    now, least = scratch.save(start.select("doc_id", "size", "crc", "g", "members", "shard", "slot")), None
-    for _ in range(p.rounds):
+    now = scratch.save(start.select("doc_id", "size", "crc", "g", "members", "shard", "slot"))
+    scratch.keep(now)
+    least = cut(now)
+    while least:
         then = scratch.save(_round(now, rows, scratch, p).select("doc_id", "size", "crc", "g", "members", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")))
         left = cut(then)
-        if least is not None and left >= least:
-            scratch.discard(then)
+        better = then if left < least else now
+        scratch.keep(better)
+        if better is now:
             break
-        scratch.discard(now)
         now, least = then, left
-    scratch.keep(now)
     return now.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"))

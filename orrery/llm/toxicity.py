@@ -6,13 +6,18 @@ hash of the id, the calibration, so no step is fitted to rows that an earlier st
 fixed and of a learned lexicon, hits near a second person, capitals, punctuation and
 obfuscation. Id, language and source are no features.
 
-The learned lexicon counts every row of its folds; trees and calibration are fitted on at
-most `Params.sample_rows` rows each, chosen by a hash of the id. Texts are read whole.
+The learned lexicon counts every row of its folds. A term is in it if its link with the
+label is both sure (`least_z`) and strong (`least_odds`, which keeps words out that are
+common in all texts and pass the former wherever there are very many rows); of these the
+model holds the `lexicon_terms` surest, a bound of its size as the number of trees is.
+Trees and calibration are fitted on at most `Params.sample_rows` rows each, chosen by a hash
+of the id. Texts are read whole.
 
 Defined cases: null and empty texts get a score like any other, from features that are all
 zero; labels of ids that are missing, null or contradictory (several rows: the highest
 wins) don't stop a run; where either label is missing from the trees' rows, the score is
-0.9 for texts with a word of the fixed lexicon and else 0.1; repeated rows get equal
+0.9 for texts with a word of the fixed lexicon and else 0.1; where it is missing from the
+calibration's rows only, the trees' rows calibrate, too; repeated rows get equal
 scores; an empty table gives an empty result. Other columns are not read.
 """
 
@@ -67,9 +72,11 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Params:
-    lexicon_terms: int = 4_000
+    lexicon_terms: int = 20_000
     least_z: float = 4.5
     """Least signed root of the likelihood ratio of a learned term."""
+    least_odds: float = 0.7
+    """Least logarithm of the ratio of odds of a learned term."""
     prefix: int = 4
     sample_rows: int = 200_000
     trees: int = 20
@@ -137,7 +144,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, p: Params) -> dict[str, fl
     odds = F.log((t + 0.5) / (total.t + 1.0)) - F.log((n - t + 0.5) / (total.n - total.t + 1.0))
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(t, n * rate) + part(n - t, n * (1 - rate)))))
-    scored = counted.where(t > n * rate).select("term", odds.alias("odds"), ratio.alias("z")).where(F.col("z") >= p.least_z)
+    scored = counted.where(t > n * rate).select("term", odds.alias("odds"), ratio.alias("z")).where((F.col("z") >= p.least_z) & (F.col("odds") >= p.least_odds))
     return {r.term: r.odds for r in scored.orderBy(F.desc("z"), "term").limit(p.lexicon_terms).collect()}
 
 

@@ -144,6 +144,24 @@ def test_passages_equal_brute_force(spark):
     assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_common_shingles_of_an_item_are_not_looked_up(spark, monkeypatch):
+    """Two hundred documents repeat a shingle of an item that has a rarer one."""
+    common = " ".join(["one", "two", "three", "four"] * 50)
+    item = "one two three four rare words end this very window"
+    rows = [(k, common) for k in range(200)] + [(200, "so " + item), (201, "rare words end"), (None, item), (None, "clean")]
+    seen = []
+    monkeypatch.setattr(decontamination, "matches", lambda *a, f=decontamination.matches: [out := f(*a), seen.append(out.count())][0])
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("i", item)], "item_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_hit) for r in got if r.n_hit) == [("200", 10), ("None", 10)] and len(got) == 204
+    assert seen == [2]
+
+
+def test_a_passage_in_a_very_long_text(spark):
+    words = [f"w{k}" for k in range(100_000)]
+    rows = decontamination.decontaminate(frame(spark, [" ".join(words)]), spark.createDataFrame([("i", " ".join(words[70_000:70_030]))], "item_id string, text string")).collect()
+    assert [(r.n_words, r.n_hit) for r in rows] == [(100_000, 30)]
+
+
 def test_shards(spark):
     texts = ["same"] * 37 + [f"pair {k // 2}" for k in range(60)] + [f"single {k}" for k in range(200)] + [None, "", "é"]
     df = frame(spark, texts)
