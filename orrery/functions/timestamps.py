@@ -33,9 +33,15 @@ def canonical_zone(zone: str) -> str:
     return known[zone.strip().lower()]
 
 
+def _by_rule(zone: str) -> str:
+    """A lower-case name with capitals after / and _."""
+    return "/".join("_".join(q[:1].upper() + q[1:] for q in p.split("_")) for p in zone.split("/"))
+
+
 def zone_sql(zone: str) -> str:
-    """The same for a SQL expression. Names in one case are spelled by rule: capitals after / and _."""
+    """The same for a SQL expression. Names in any case are spelled by rule, or by a map of those that the rule misses."""
     fixed = ", ".join(f"'{k}', '{v}'" for k, v in ABBREVIATIONS.items())
+    missed = ", ".join(f"'{z.lower()}', '{z}'" for z in sorted(available_timezones()) if _by_rule(z.lower()) != z)
     offset = r"^(?i)(?:UTC|GMT)?([+-])([0-9]{1,2}):?([0-9]{2})?$"
     sign = f"if(regexp_extract({zone}, r'{offset}', 1) = '+', '-', '+')"
     hours = f"lpad(regexp_extract({zone}, r'{offset}', 2), 2, '0')"
@@ -43,9 +49,7 @@ def zone_sql(zone: str) -> str:
     spelled = f"array_join(transform(split({zone}, '/'), p -> array_join(transform(split(p, '_'), q -> initcap(q)), '_')), '/')"
     return (
         f"case when {zone} rlike r'{offset}' then concat({sign}, {hours}, ':', {minutes}) "
-        f"when map_contains_key(map({fixed}), upper({zone})) then element_at(map({fixed}), upper({zone})) "
-        f"when instr({zone}, '/') > 0 and ({zone} = lower({zone}) or {zone} = upper({zone})) then {spelled} "
-        f"when instr({zone}, '/') = 0 and {zone} = lower({zone}) then upper({zone}) else {zone} end"
+        f"else coalesce(try_element_at(map({fixed}), upper({zone})), try_element_at(map({missed}), lower({zone})), {spelled}) end"
     )
 
 

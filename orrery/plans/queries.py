@@ -15,6 +15,7 @@ from ..operators import Registry, violations
 from ..operators.registry import EXTENSIONS
 from ..sources import CONTINENTS, continent_ordinal, countries, table
 from ..sources.countries import upgrade
+from ..streaming import counts_by_time_of_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +109,19 @@ def countries_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("continent").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
+def countries_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One number for all rows in the order of iso3, and one for those of 0.0.1 in the order of their identity."""
+
+    def digest(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+        line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+        lines = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), line.alias("line")))).alias("all"), F.count("*").alias("n"))  # 249 rows
+        return lines.select("n", F.md5(F.array_join(F.transform("all", lambda x: x["line"]), "\n").cast("binary")).alias("digest"))
+
+    names = ["name", "iso2", "iso3", "local_name", "continent"]
+    new = digest(countries(spark), "iso3", names).select(F.lit("0.0.2").alias("version"), "n", "digest")
+    return new.unionByName(digest(countries(spark, "0.0.1"), "id", ["id", *names]).select(F.lit("0.0.1").alias("version"), "n", "digest"))
+
+
 def countries_v1_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = upgrade(countries(spark, "0.0.1")), countries(spark, "0.0.2")
     one = lambda df, k: df.agg(F.lit(k).alias("difference"), F.count("*").alias("n"))
@@ -118,6 +132,43 @@ def countries_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(countries(spark), key=["iso3"], required=["iso2"], domains={"continent": CONTINENTS})
 
 
+def countries_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is null, not unique or nullable before and after the upgrade."""
+    old = countries(spark, "0.0.1")
+    one = lambda df, version: df.agg(F.count("*").alias("n"), F.countDistinct("iso3").alias("n_keys"), F.count_if(F.col("iso3").isNull()).alias("n_null")).select(F.lit(version).alias("version"), F.lit(df.schema["iso3"].nullable).alias("nullable"), "n", "n_keys", "n_null")
+    return one(old, "0.0.1").unionByName(one(upgrade(old), "0.0.2"))
+
+
+def _installed(spark: SparkSession) -> None:
+    Registry(spark).create_extension("identifiers", if_not_exists=True)
+
+
+def _sql_invariants(function: str, pattern: str) -> Query:
+    """The same of ids that the function without arguments makes in SQL."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _installed(spark)
+        made = table(spark, sf_dir, "events").select(F.expr(f"{function}()").alias("id"))
+        return made.groupBy("id").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"), F.bool_and(F.col("id").rlike(pattern)).alias("all_match"))
+
+    return query
+
+
+def sql_ts_from_v7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoder in SQL, with names of zones in odd cases and from a column."""
+    _installed(spark)
+    ids = _stamped(spark, sf_dir).select("event_id", uuid_v7_at("us", "r").alias("id"))
+    zones = F.array(*[F.lit(z) for z in ("UTC", "Europe/paris", "america/port-au-prince", "etc/gmt+5", "ASIA/KOLKATA", "+05:30")])
+    ids = ids.withColumn("zone", F.get(zones, (F.col("event_id") % 6).cast("int")))
+    return ids.select("event_id", F.expr("timestamp_from_uuid_v7(id, zone)").alias("ts"))
+
+
+def ids_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the hour that their ids carry; the plan is the same on a stream."""
+    ids = _stamped(spark, sf_dir).select(uuid_v7_at("us", "r").alias("id"))
+    return counts_by_time_of_id(ids, "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
 def extension_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Registry(spark).available_extensions()
 
@@ -158,6 +209,14 @@ QUERIES: dict[str, Query] = {
     "countries_null_vs_empty": countries_null_vs_empty,
     "countries_topk_enum": countries_topk_enum,
     "countries_dim_join": countries_dim_join,
+    "countries_digest": countries_digest,
+    "countries_keys": countries_keys,
+    "sql_gen_v6_invariants": _sql_invariants("gen_random_uuid_v6", V6),
+    "sql_gen_v7_invariants": _sql_invariants("gen_random_uuid_v7", V7),
+    "sql_gen_ksuid_s_invariants": _sql_invariants("gen_random_ksuid_second", KSUID),
+    "sql_gen_ksuid_us_invariants": _sql_invariants("gen_random_ksuid_microsecond", KSUID),
+    "sql_ts_from_v7_zones": sql_ts_from_v7_zones,
+    "ids_by_hour": ids_by_hour,
     "countries_v1_upgrade": countries_v1_upgrade,
     "countries_constraints": countries_constraints,
     "extension_catalog": extension_catalog,
@@ -209,6 +268,19 @@ def _constant(rows: list[tuple], names: str) -> str:
     return f"select * from (values {', '.join(str(r) if len(r) > 1 else f'({r[0]!r})' for r in rows)}) as t({names})"
 
 
+#: Facts of the 249 rows, written out: rows and least code of each continent, their first three, and the continents of the first 25 codes.
+_CONTINENTS = """('Africa', 58, 'AGO', 1), ('Antarctica', 5, 'ATA', 2), ('Asia', 50, 'AFG', 3), ('Europe', 45, 'ALB', 4), ('Oceania', 28, 'ASM', 5),
+('North America', 36, 'ABW', 6), ('South America', 14, 'ARG', 7), (null, 13, 'ALA', null)"""
+_FIRST_THREE = """('Africa', 1, 1, 'AGO', 'Angola'), ('Africa', 1, 2, 'BDI', 'Burundi'), ('Africa', 1, 3, 'BEN', 'Benin'), ('Antarctica', 2, 1, 'ATA', 'Antarctica'),
+('Antarctica', 2, 2, 'ATF', 'French Southern Territories'), ('Antarctica', 2, 3, 'BVT', 'Bouvet Island'), ('Asia', 3, 1, 'AFG', 'Afghanistan'),
+('Asia', 3, 2, 'ARE', 'United Arab Emirates'), ('Asia', 3, 3, 'ARM', 'Armenia'), ('Europe', 4, 1, 'ALB', 'Albania'), ('Europe', 4, 2, 'AND', 'Andorra'),
+('Europe', 4, 3, 'AUT', 'Austria'), ('Oceania', 5, 1, 'ASM', 'American Samoa'), ('Oceania', 5, 2, 'AUS', 'Australia'), ('Oceania', 5, 3, 'CCK', 'Cocos (Keeling) Islands'),
+('North America', 6, 1, 'ABW', 'Aruba'), ('North America', 6, 2, 'AIA', 'Anguilla'), ('North America', 6, 3, 'ATG', 'Antigua and Barbuda'),
+('South America', 7, 1, 'ARG', 'Argentina'), ('South America', 7, 2, 'BOL', 'Bolivia'), ('South America', 7, 3, 'BRA', 'Brazil'),
+(null, null, 1, 'ALA', 'Åland Islands'), (null, null, 2, 'BES', 'Bonaire, Sint Eustatius and Saba'), (null, null, 3, 'BLM', 'Saint Barthélemy')"""
+_OF_FIRST_25 = """['North America', 'Asia', 'Africa', 'North America', null, 'Europe', 'Europe', 'Asia', 'South America', 'Asia', 'Oceania', 'Antarctica', 'Antarctica',
+'North America', 'Oceania', 'Europe', 'Asia', 'Africa', 'Europe', 'Africa', null, 'Africa', 'Asia', 'Europe', 'Asia']"""
+
 _ONE_EACH = "select count(*)::bigint as n, count(*)::bigint as n_distinct, true as all_match from events"
 
 ORACLES: dict[str, str] = {
@@ -234,6 +306,20 @@ ORACLES: dict[str, str] = {
     "gen_ksuid_s_invariants": _ONE_EACH,
     "gen_ksuid_us_invariants": _ONE_EACH,
     "id_order_window": "select count(*)::bigint as n, 0::bigint as inversions_v6, 0::bigint as inversions_v7 from events",
+    "countries_by_continent": f"select continent, n::bigint as n, first_iso3, ordinal::bigint as ordinal from (values {_CONTINENTS}) as t(continent, n, first_iso3, ordinal)",
+    "countries_null_vs_empty": "select 249::bigint as n, 13::bigint as n_null, 1::bigint as n_empty",
+    "countries_topk_enum": f"select continent, ordinal::bigint as ordinal, rank::int as rank, iso3, name from (values {_FIRST_THREE}) as t(continent, ordinal, rank, iso3, name)",
+    "countries_dim_join": f"select ({_OF_FIRST_25})[c_nationkey + 1] as continent, count(*) as n, round(sum(c_acctbal), 2) as balance from customer where c_nationkey between 0 and 24 group by 1",
+    "countries_digest": "select * from (values ('0.0.2', 249::bigint, '56e5ba17e74fc1d70a1a18902413107a'), ('0.0.1', 249::bigint, 'eb1660955c9f1564fbaa5c1cb285cd14')) as t(version, n, digest)",
+    "countries_keys": "select * from (values ('0.0.1', true, 249::bigint, 249::bigint, 0::bigint), ('0.0.2', false, 249::bigint, 249::bigint, 0::bigint)) as t(version, nullable, n, n_keys, n_null)",
+    "sql_gen_v6_invariants": _ONE_EACH,
+    "sql_gen_v7_invariants": _ONE_EACH,
+    "sql_gen_ksuid_s_invariants": _ONE_EACH,
+    "sql_gen_ksuid_us_invariants": _ONE_EACH,
+    "sql_ts_from_v7_zones": f"""with {_STAMPED}, utc as (select event_id, make_timestamp((us // 1000000) * 1000000) as t from stamped)
+select event_id, case event_id % 6 when 0 then t when 5 then t - interval 330 minute
+  else t at time zone 'UTC' at time zone (['Europe/Paris', 'America/Port-au-Prince', 'Etc/GMT+5', 'Asia/Kolkata'])[(event_id % 6)::int] end as ts from utc""",
+    "ids_by_hour": f"with {_STAMPED} select strftime(date_trunc('hour', make_timestamp((us // 1000000) * 1000000)), '%Y-%m-%d %H:%M') as start, count(*) as n from stamped group by 1",
     "countries_v1_upgrade": "select * from (values ('only in 0.0.1', 0::bigint), ('only in 0.0.2', 0::bigint)) as t(difference, n)",
     "countries_constraints": "select * from (values ('not null: iso3', 0::bigint), ('not null: iso2', 0::bigint), ('domain: continent', 0::bigint), ('key: iso3', 0::bigint)) as t(\"constraint\", violations)",
     "extension_catalog": _constant([(e.name, e.default_version, e.comment) for e in EXTENSIONS.values()], "name, default_version, comment"),

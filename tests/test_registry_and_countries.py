@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from orrery.operators import Registry, assert_valid, violations
 from orrery.sources import CONTINENTS, continent_ordinal, countries, preview
 from orrery.sources.countries import SCHEMAS, upgrade
-from orrery.streaming import with_id
+from orrery.streaming import counts_by_time_of_id, with_id
 
 
 def test_countries_shape_and_constraints(spark):
@@ -12,6 +12,9 @@ def test_countries_shape_and_constraints(spark):
     assert df.columns == ["name", "iso2", "iso3", "local_name", "continent"]
     assert df.count() == 249 == df.select("iso3").distinct().count()
     assert violations(df, key=["iso3"], required=["iso2"], domains={"continent": CONTINENTS}).agg(F.sum("violations")).first()[0] == 0
+    rows = {r.iso3: r for r in df.collect()}
+    assert sum(r.continent is None for r in rows.values()) == sum(r.local_name is None for r in rows.values()) == 13 and sum(r.local_name == "" for r in rows.values()) == 1
+    assert rows["ASM"].iso2 == "as" and rows["ROM"].name == "Romania" and rows["ALA"].continent is None and rows["PRK"].name == "Korea, Democratic People's Republic of"
     assert df.schema["name"].metadata["comment"] and "comment" not in df.schema["continent"].metadata
     assert preview(df, 10).count() == 10
 
@@ -19,6 +22,13 @@ def test_countries_shape_and_constraints(spark):
 def test_countries_versions(spark):
     old = countries(spark, "0.0.1")
     assert [r.id for r in old.orderBy("id").limit(3).collect()] == [1, 2, 3]
+    new = upgrade(old)
+    assert not new.schema["iso3"].nullable and new.schema["iso3"].metadata == old.schema["iso3"].metadata
+    for bad in ("AFG", None):
+        twice = old.withColumn("iso3", F.when(F.col("id") == 3, F.lit(bad)).otherwise(F.col("iso3")))
+        with pytest.raises(ValueError, match="iso3"):
+            upgrade(twice)
+    assert [r.name for r in old.orderBy("id").limit(14).collect()][::13] == ["Bonaire, Sint Eustatius and Saba", "American Samoa"]
     assert upgrade(old).columns == countries(spark, "0.0.2").columns == SCHEMAS["0.0.2"].fieldNames()
     with pytest.raises(ValueError):
         countries(spark, "9")
@@ -83,6 +93,7 @@ def test_registry_countries_and_parity(spark):
     assert "id" in spark.table("countries").columns
     r.update("countries")
     assert "id" not in spark.table("countries").columns
+    assert [x.comment for x in spark.sql("describe countries").collect() if x.col_name == "iso3"] == ["ISO 3166-1 alpha-3 code."]
     r.create_extension("is_even")
     r.create_extension("is_odd")
     assert tuple(spark.sql("select is_even(null), is_odd(null), is_even(-3), is_odd(-3)").first()) == (False, True, False, True)
@@ -103,3 +114,20 @@ def test_ids_in_a_stream(spark):
     assert got.n == got.d
     with pytest.raises(ValueError):
         with_id(spark.range(1), "nonsense")
+
+
+def test_a_stream_counts_ids_by_their_own_time(spark, tmp_path):
+    first, later = "018b99e6-5a2d-78cc-89aa-4b29b940caa", "018b99e8-5a2d-78cc-89aa-4b29b940caa"  # 2 minutes and 11 seconds apart
+    schema = "id string"
+    for k, ids in enumerate([[first + "1", first + "2", first + "1", None], [first + "2", later + "1"]]):
+        spark.createDataFrame([(i,) for i in ids], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = counts_by_time_of_id(stream).writeStream.outputMode("update").format("memory").queryName("by_minute").option("checkpointLocation", str(tmp_path / "at")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {str(r.start): r.n for r in spark.sql("select start, max(n) n from by_minute group by start").collect()}
+    assert got == {"2023-11-04 10:34:00": 2, "2023-11-04 10:37:00": 1}
+    batch = spark.createDataFrame([(first + "1",), (first + "1",), (None,)], schema)
+    assert [r.n for r in counts_by_time_of_id(batch).collect()] == [1]
