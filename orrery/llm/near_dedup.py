@@ -201,11 +201,12 @@ def assign(df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str =
     sketched = scratch.save(sketches(docs, p))
 
     full = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    members = scratch.save(sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")))
-    one_each = classes.select(F.col("id").alias("doc_id"), "d1", "d2")
-    reps = full.join(one_each, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-    reps = scratch.save(reps)
+    same_set = ["n_shingles", "d1", "d2"]
+    classes = scratch.save(full.groupBy(*same_set).agg(F.min("doc_id").alias("id"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    full = with_one_row_a_key(full, classes, same_set, "doc_id", p.broadcast_rows, "left").withColumn("id", F.coalesce("id", "doc_id"))
+    other = sketched.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.lit(None).cast(sketched.schema["doc_id"].dataType).alias("id"))
+    members = scratch.save(full.select("doc_id", "n_shingles", "id").unionByName(other))
+    reps = scratch.save(full.where("doc_id = id").dropDuplicates(["id", "d1", "d2"]).select("id", F.col("n_shingles").alias("n"), "sketch"))
 
     enough = F.ceil(F.col("n") * p.percent / 100)
     lists = scratch.save(_postings(reps, F.least(F.col("n"), F.lit(p.k)), F.least(F.lit(p.overlap), enough)))
