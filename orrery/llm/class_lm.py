@@ -190,7 +190,7 @@ def neighbours(encoded: DataFrame, sent: Broadcast, turn: int, p: Params, tokens
     """(number, codes, counts), sparse counts over all training rows; `sent` holds the classes.
 
     For numbers that have their turn: code c < K: class c before it, K + c: class c after
-    it, and 2 K + K a + b: both, of one token. Number -1 has the class bigrams, code K a + b.
+    it, and 2 K + K a + b: both, of one token. Number -1 - a has the bigrams of class a, code b.
     """
     k = p.classes
     wide = 2 * k + k * k
@@ -238,11 +238,14 @@ def neighbours(encoded: DataFrame, sent: Broadcast, turn: int, p: Params, tokens
                 common, keys, held = [], [], 0
         if held:
             yield from counted()
-        yield pd.DataFrame({"number": -1, "code": np.flatnonzero(bigrams), "n": bigrams[bigrams > 0]})
+        found = np.flatnonzero(bigrams)
+        yield pd.DataFrame({"number": -1 - found // k, "code": found % k, "n": bigrams[found]})
 
     rows = encoded.where("not held_out").select("numbers").mapInPandas(run, "number long, code int, n long")
     # one shuffle: what lies together by number lies together by number and code
-    return rows.repartition("number").groupBy("number", "code").agg(F.sum("n").alias("n")).groupBy("number").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"))
+    each = rows.repartition("number").groupBy("number", "code").agg(F.sum("n").alias("n")).groupBy("number").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts"), F.sum("n").alias("n"))
+    # the n of a rarer word is how often it was met; of others it isn't asked
+    return each.where((F.col("number") < RARE) | (F.col("number") >= POOL) | (F.col("n") >= p.least_count)).drop("n")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -251,10 +254,10 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 def transitions(counted: DataFrame, p: Params) -> np.ndarray:
     """Class bigram counts, K by K."""
-    out = np.zeros(p.classes**2)
-    for r in counted.where("number = -1").collect():  # one row
-        out[r.codes] = r.counts
-    return out.reshape(p.classes, p.classes)
+    out = np.zeros((p.classes, p.classes))
+    for r in counted.where("number < 0").collect():  # a row for each class
+        out[-1 - r.number, r.codes] = r.counts
+    return out
 
 
 def histograms(codes: list, counts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,16 +286,25 @@ def gains(left: np.ndarray, right: np.ndarray, a: np.ndarray, g: np.ndarray) ->
     row, col, before, after = g[a], g[:, a].T, g.sum(axis=0), g.sum(axis=1)
     nl, nr = left.sum(axis=1)[:, None], right.sum(axis=1)[:, None]
 
-    def apart(change: np.ndarray) -> np.ndarray:
-        """Sums of (word, b, class) over classes other than a and b."""
-        return change.sum(axis=2) - change[i, :, a] - np.einsum("tbb->tb", change)
+    def apart(counts: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """For each word and b, what its counts add to row b of g, but for the columns a and b; from counts that aren't zero alone."""
+        t, y = np.nonzero(counts)
+        base = np.ascontiguousarray(g.T)
+        change = f(base[y] + counts[t, y][:, None]) - f(base)[y]
+        change[np.arange(len(y)), y] = 0
+        change[y == a[t]] = 0
+        out = np.zeros(counts.shape)
+        if len(t):
+            first = np.flatnonzero(np.diff(t, prepend=-1))
+            out[t[first]] = np.add.reduceat(change, first, axis=0)
+        return out
 
     def left_behind(change: np.ndarray) -> np.ndarray:
         """The same of (word, class) where only the sum depends on b."""
         return (change.sum(axis=1) - change[i, a])[:, None] - change
 
     less = lambda x: f(np.maximum(x, 0))
-    gain = apart(f(g[None] + right[:, None, :]) - f(g)) + apart(f(g.T[None] + left[:, None, :]) - f(g.T))
+    gain = apart(right, g) + apart(left, g.T)
     gain += left_behind(less(row - right) - f(row)) + left_behind(less(col - left) - f(col))
     ra, la, aa = right[i, a][:, None], left[i, a][:, None], diag[a][:, None]
     gain += less(aa - ra - la) - f(aa) + less(row - right + la) - f(row) + less(col + ra - left) - f(col) + f(diag + right + left) - f(diag)
@@ -307,15 +319,12 @@ def best_classes(counted: DataFrame, sent: Broadcast, bigrams: np.ndarray, p: Pa
     """(number, class, n) of those that move: where each raises the likelihood most; n tokens follow."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = sent.value
-        for batch in sliced(batches, 256):
+        for batch in sliced(batches, 1_000):
             left, right = histograms(list(batch["codes"]), list(batch["counts"]), p.classes)
             t = batch["number"].to_numpy()
-            enough = (left.sum(axis=1) >= p.least_count) | (t >= POOL)
-            t, left, right = t[enough], left[enough], right[enough]
-            if len(t):
-                own = classes.now(t)
-                best = gains(left, right, own, bigrams).argmax(axis=1)
-                yield pd.DataFrame({"number": t, "class": best, "n": left.sum(axis=1)})[best != own]
+            own = classes.now(t)
+            best = gains(left, right, own, bigrams).argmax(axis=1)
+            yield pd.DataFrame({"number": t, "class": best, "n": left.sum(axis=1)})[best != own]
 
     return counted.where("number >= 0").mapInPandas(run, "number long, class int, n double")
 

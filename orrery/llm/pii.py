@@ -208,10 +208,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 found.append(("address", first, m.end()))
         elif kind == "i":
             if first > done["iban"] and (m := IBAN.match(text, first - 1)):
-                done["iban"] = m.end()
                 # the run may have gone on into the words that follow: try its ends from the last
                 ends = [e for e in range(m.end(), m.start() + 14, -1) if e == m.end() or text[e] == " "]
                 if end := next((e for e in ends if _is_iban(text[m.start() : e])), 0):
+                    done["iban"] = end
                     found.append(("iban", m.start(), end))
         elif first >= done["account"]:
             before = text[first - 1] if first else " "

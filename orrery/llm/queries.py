@@ -61,6 +61,21 @@ from judged
 """
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy would keep without each of its rules, from the ledger of op2."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+def _ablations_sql() -> str:
+    cases = ", ".join(f"('{p}', '{r}', {m}, {quality_rules.BIT[r]})" for p, m in quality_rules.POLICIES.items() for r in quality_rules.BIT if m & quality_rules.BIT[r])
+    return f"""
+with entries as ({OP2_SQL}), cases as (select * from (values {cases}) as t(policy, rule, mask, bit))
+select policy, rule, (count(*) filter (failed_rules & bit <> 0))::bigint as failed, (count(*) filter (failed_rules & mask = bit))::bigint as failed_alone,
+  (count(*) filter (failed_rules & mask = 0))::bigint as kept, (count(*) filter ((failed_rules & mask) - (failed_rules & bit) = 0))::bigint as kept_without
+from entries cross join cases group by policy, rule
+"""
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.assign(table(spark, sf_dir, "documents"), near_dedup.Params(shingle=4))
 
@@ -165,12 +180,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_class_ngrams": op9_class_ngrams,
     "op10_packing": op10_packing,
+    "quality_ablations": quality_ablations,
 }
 
 #: The others can't be put in SQL; tests hold them against plain models.
 ORACLES: dict[str, str] = {
     "op1_license_scans": license_scan.oracle_sql(),
     "op2_quality_rules": OP2_SQL,
+    "quality_ablations": _ablations_sql(),
     "op3_minhash_near_dedup": OP3_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
 }

@@ -197,6 +197,16 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_the_stream_follows_the_curve(spark):
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"topic{k % 7} word{draw.integers(40 * (k % 7), 40 * (k % 7) + 40)}" for _ in range(int(draw.integers(5, 60)))) for k in range(150)]
+    p = packing.Params(length=500, range_rows=20)
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), p).where("start = 0").collect()
+    keys = packing._keys(list(packing._encoded(texts, p)), p)
+    along = [int(keys[r.doc_id]) for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert along == sorted(along) and len(set(along)) > 100
+
+
 def test_hilbert_is_a_walk_through_all_points():
     side = np.arange(8)
     points = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)
@@ -238,6 +248,15 @@ def test_oracles(spark):
         assert sorted(map(str, got.itertuples(index=False))) == sorted(map(str, want.itertuples(index=False))), name
 
 
+def test_very_long_texts(spark):
+    words = " ".join(f"w{k}" for k in range(120_000))
+    docs = spark.createDataFrame([(1, words), (2, words + " you idiot"), (3, "x" * 300_000)], "doc_id long, text string")
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()}
+    assert scored == {1: 0.1, 2: 0.9, 3: 0.1}
+    assert {r.doc_id: r.n_tokens for r in class_lm.score(docs, LM).collect()} == {1: 120_001, 2: 120_003, 3: 2}
+    assert len(sharding.shard(docs).collect()) == 3
+
+
 def test_null_and_repeated_ids(spark):
     big = 2**62 + 1
     rows = [(None, "some text of a@b.org"), (None, None), (big, "more text"), (big, "more text"), (1, None)]

@@ -165,7 +165,7 @@ def test_a_passage_in_a_very_long_text(spark):
 def test_shards(spark):
     texts = ["same"] * 37 + [f"pair {k // 2}" for k in range(60)] + [f"single {k}" for k in range(200)] + [None, "", "é"]
     df = frame(spark, texts)
-    for p in (sharding.Params(shards=8), sharding.Params(shards=8, bucket_rows=10)):
+    for p in (sharding.Params(shards=8), sharding.Params(shards=8, bucket_rows=10), sharding.Params(shards=8, bucket_rows=10, broadcast_rows=0)):
         rows = sharding.shard(df, p).collect()
         assert len(rows) == len(texts)
         by = {}
