@@ -60,6 +60,9 @@ LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 LETTERS = re.compile(r"[^\W\d_]+")
 CAPITALS = re.compile(r"\b[A-Z]{2,}\b")
 MIXED = re.compile(r"[^\W\d_][^\W_]*[0-9@$!|*][0-9@$!|*]*[^\W_]*[^\W\d_]")
+CHUNK = re.compile(r"[\w@$!|*]+")
+LONGEST_WORD = 64
+"""Longer runs of word characters are no words, and not looked at for look-alikes; their patterns would take the cube of the length."""
 SPACED = re.compile(r"(?<!\w)(?:\w[.\-_* ]){3,}\w(?!\w)")
 DRAWN_OUT = re.compile(r"([^\W\d_])\1{2,}")
 
@@ -106,7 +109,7 @@ def features_of(text: str, learned: dict[str, float], p: Params) -> list[float]:
                 while at < len(person) and person[at] < i - p.near_words:
                     at += 1
                 near += at < len(person) and person[at] <= i + p.near_words
-    mixed = MIXED.findall(text)
+    mixed = [m for c in CHUNK.findall(text) if len(c) <= LONGEST_WORD and not c.isalpha() for m in MIXED.findall(c)]
     spaced = [re.sub(r"[.\-_* ]", "", m.group()) for m in SPACED.finditer(text)]
     drawn = [m.start() for m in DRAWN_OUT.finditer(text)] if DRAWN_OUT.search(text) else []
     plain = [m.translate(LOOKALIKES).replace("*", "").lower() for m in mixed] + [s.lower() for s in spaced]
